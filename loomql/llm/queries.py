@@ -5,8 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, quality
-from .common import table
+from . import chat, decontam, pack, ppm, quality, shard
+from .common import shared_dir, table
+
+SHARDS = 40
+#: Before resharding, a source's documents lie together.
+OLD_SHARDS = 32
+
+
+def op1_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    old = F.pmod(F.xxhash64(F.coalesce("source", F.lit(""))), F.lit(OLD_SHARDS))
+    assigned, flow = shard.plan(docs, old, SHARDS)
+    written = shard.rewrite(assigned, flow, f"{shared_dir(spark)}/shards")
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    return written.select(F.col("id").alias("doc_id"), "size", crc.alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+
+
+def op2_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score(table(spark, sf_dir, "documents"))
+
+
+def op4_hilbert_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    out = pack.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 def op6_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +55,6 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), "items_sha256", (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {"op6_chat_round_trip": op6_chat_round_trip, "op7_quality_votes": op7_quality_votes, "op10_decontaminate": op10_decontaminate}
+QUERIES = {"op1_reshard": op1_reshard, "op2_ppm_score": op2_ppm_score, "op4_hilbert_pack": op4_hilbert_pack, "op6_chat_round_trip": op6_chat_round_trip, "op7_quality_votes": op7_quality_votes, "op10_decontaminate": op10_decontaminate}
 
 SQL: dict[str, str] = {}
