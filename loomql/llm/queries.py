@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, pack, ppm, quality, shard
+from . import chat, decontam, pack, ppm, quality, shard, warc
 from .common import shared_dir, table
 
 SHARDS = 40
@@ -26,6 +26,19 @@ def op2_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score(table(spark, sf_dir, "documents"))
 
 
+def op3_warc_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/archives"
+    warc.write(warc.deduplicated(table(spark, sf_dir, "pages")), path)
+    page = lambda c: F.expr(f"try_cast(regexp_extract({c}, '^<urn:page:(-?[0-9]+)>$', 1) as bigint)")
+    records = warc.read(spark, path)
+    # A response's payload is hashed and measured as it was read; a revisit has none and states what it refers to.
+    own = F.col("record_type") == "response"
+    return records.select(
+        page("record_id").alias("page_id"), F.when(own, F.col("block_bytes")).otherwise(F.col("stated_length").cast("bigint")).alias("payload_bytes"),
+        F.when(own, F.col("sha1")).otherwise(F.regexp_replace("stated", "^sha1:", "")).alias("payload_digest"), "record_type", page("refers").alias("refers_to"),
+    )
+
+
 def op4_hilbert_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -55,6 +68,6 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), "items_sha256", (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {"op1_reshard": op1_reshard, "op2_ppm_score": op2_ppm_score, "op4_hilbert_pack": op4_hilbert_pack, "op6_chat_round_trip": op6_chat_round_trip, "op7_quality_votes": op7_quality_votes, "op10_decontaminate": op10_decontaminate}
+QUERIES = {"op1_reshard": op1_reshard, "op2_ppm_score": op2_ppm_score, "op3_warc_chain": op3_warc_chain, "op4_hilbert_pack": op4_hilbert_pack, "op6_chat_round_trip": op6_chat_round_trip, "op7_quality_votes": op7_quality_votes, "op10_decontaminate": op10_decontaminate}
 
 SQL: dict[str, str] = {}
