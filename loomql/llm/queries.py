@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, pack, ppm, quality, shard, warc
+from . import chat, decontam, pack, ppm, quality, secrets, shard, warc
 from .common import shared_dir, table
 
 SHARDS = 40
@@ -46,6 +46,10 @@ def op4_hilbert_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op5_secret_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+
 def op6_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = "\\### Assistant: </turn> ok"
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -68,6 +72,6 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), "items_sha256", (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {"op1_reshard": op1_reshard, "op2_ppm_score": op2_ppm_score, "op3_warc_chain": op3_warc_chain, "op4_hilbert_pack": op4_hilbert_pack, "op6_chat_round_trip": op6_chat_round_trip, "op7_quality_votes": op7_quality_votes, "op10_decontaminate": op10_decontaminate}
+QUERIES = {"op1_reshard": op1_reshard, "op2_ppm_score": op2_ppm_score, "op3_warc_chain": op3_warc_chain, "op4_hilbert_pack": op4_hilbert_pack, "op5_secret_grammar": op5_secret_grammar, "op6_chat_round_trip": op6_chat_round_trip, "op7_quality_votes": op7_quality_votes, "op10_decontaminate": op10_decontaminate}
 
 SQL: dict[str, str] = {}
