@@ -52,3 +52,23 @@ def fresh(df: DataFrame, stem: str) -> str:
         k += 1
         name = f"{stem}{k}"
     return name
+
+
+#: Bits of the largest id filter: sent out as at most 2 ** 21 words of 64 bits, whatever the number of ids.
+FILTER_BITS = 27
+
+
+def may_hold(rows: DataFrame, id_col: str, ids: DataFrame, count: int) -> DataFrame:
+    """``rows`` and a last boolean column: false only where the id (null is an id too) isn't in ``ids`` (one column).
+
+    A bit per hash value, about sixteen bits per id up to the bound; beyond it more rows are let through, and the
+    exact join that follows has more to do. Rows are not shuffled.
+    """
+    bits = min(FILTER_BITS, max(10, (16 * max(count, 1)).bit_length()))
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits))
+    name, word, held = fresh(rows, "may_hold"), fresh(rows, "filter_word"), fresh(rows, "filter_bits")
+    words = ids.select(at(F.col(ids.columns[0])).alias("p")).groupBy(F.shiftright("p", 6).alias(word)).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias(held))
+    place = at(F.col(f"`{id_col}`"))
+    rows = rows.withColumn(word, F.shiftright(place, 6)).join(F.broadcast(words), word, "left")
+    bit = F.call_function("shiftrightunsigned", F.col(held), place.bitwiseAND(63).cast("int")).bitwiseAND(1)
+    return rows.withColumn(name, F.coalesce(bit == 1, F.lit(False))).drop(word, held)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, pack, pii, ppm, quality, secrets, shard, warc
+from . import chat, decontam, near_dup, pack, pii, ppm, quality, secrets, shard, warc
 from .common import shared_dir, table
 
 SHARDS = 40
@@ -67,6 +67,10 @@ def op7_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *(f"q.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), "base_failed", "kept", "posterior")
 
 
+def op8_jaccard_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(table(spark, sf_dir, "documents"))
 
@@ -76,6 +80,6 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), "items_sha256", (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {"op1_reshard": op1_reshard, "op2_ppm_score": op2_ppm_score, "op3_warc_chain": op3_warc_chain, "op4_hilbert_pack": op4_hilbert_pack, "op5_secret_grammar": op5_secret_grammar, "op6_chat_round_trip": op6_chat_round_trip, "op7_quality_votes": op7_quality_votes, "op9_personal_data": op9_personal_data, "op10_decontaminate": op10_decontaminate}
+QUERIES = {"op1_reshard": op1_reshard, "op2_ppm_score": op2_ppm_score, "op3_warc_chain": op3_warc_chain, "op4_hilbert_pack": op4_hilbert_pack, "op5_secret_grammar": op5_secret_grammar, "op6_chat_round_trip": op6_chat_round_trip, "op7_quality_votes": op7_quality_votes, "op8_jaccard_tiles": op8_jaccard_tiles, "op9_personal_data": op9_personal_data, "op10_decontaminate": op10_decontaminate}
 
 SQL: dict[str, str] = {}
