@@ -25,7 +25,8 @@ WINDOW = 10
 #: given in blocks, one call each.
 MAX_BENCHMARK_BYTES = 32 << 20
 
-WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+#: A word in the text as it was, where A-Z are not yet lower case.
+WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
 
