@@ -47,9 +47,13 @@ def deduplicated(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "
     payload = common.text_or_empty(html_col)
     rows = pages.select(F.col(id_col).alias("page_id"), url.alias("url"), payload.alias("payload"))
     rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("bigint")).withColumn("payload_digest", digest(F.col("payload")))
-    # Only groups of two and more are joined: few rows. Large groups are split by the adaptive join.
+    # Payloads are shuffled only where another row may have the same one; large groups are split by the adaptive join.
     groups = rows.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest", "payload_bytes").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    rows = rows.join(groups.where("n > 1 and first is not null").drop("n"), ["payload_digest", "payload_bytes"], "left")
+    groups = common.staged(groups.where("n > 1 and first is not null").drop("n"), f"{common.shared_dir(pages.sparkSession)}/groups")
+    rows = common.may_hold(rows, "payload_digest", groups.select("payload_digest"), groups.count())
+    alone, asked = (rows.where(c).drop("may_hold") for c in (~F.col("may_hold"), F.col("may_hold")))
+    first = F.lit(None).cast(rows.schema["page_id"].dataType)
+    rows = alone.withColumn("first", first).unionByName(asked.join(groups, ["payload_digest", "payload_bytes"], "left"))
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return rows.withColumn("record_type", F.when(revisit, "revisit").otherwise("response")).withColumn("refers_to", F.when(revisit, F.col("first"))).drop("first")
 
