@@ -72,9 +72,10 @@ def round_half_away(x: Column, digits: Column) -> Column:
 
 def substr(s: Column, start: Column, length: Column | None) -> Column:
     """From a place counted from one; an earlier start is the first place and shortens nothing."""
-    begin = F.greatest(start, F.lit(1)).cast("int")
+    begin = F.when(start.isNotNull(), F.greatest(start, F.lit(1))).cast("int")
     rest = F.length(s)
-    size = rest if length is None else F.coalesce(F.greatest(length, F.lit(0)).cast("int"), rest)
+    # greatest() passes over NULLs; a NULL length means all that is left.
+    size = rest if length is None else F.when(length.isNull(), rest).otherwise(F.greatest(length, F.lit(0)).cast("int"))
     return F.substr(s, begin, size)
 
 
