@@ -12,6 +12,7 @@ so a large group of copies spreads over ranges.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import common
+from .ppm import Table
 
 LENGTH = 4096
 END_ID = 2
@@ -32,18 +34,81 @@ CURVE_DIMENSIONS = 3
 CURVE_BITS = 12
 SEED = 20240601
 #: Words that a worker remembers; the older half is forgotten beyond it.
-REMEMBERED = 600_000
-_SEPARATOR = "<|startoftext|>"
+REMEMBERED = 800_000
 #: White space and separators on which libraries differ; a text with one is encoded as a whole.
 _UNUSUAL = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏ -  -⁯　﻿]")
 _PLAIN = re.compile("([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-įı-ňŊ-ž]+)([.,;:!?]*)")
 
 
+class Merges:
+    """Byte-pair merges of many words at once, in numpy arrays, by a vocabulary file's ranks.
+
+    Each round merges the best pair of every word that has one. A merge only makes pairs that rank after it, so all places
+    of a word's best pair go together, from the left where they overlap.
+    """
+
+    def __init__(self, model: dict):
+        vocab, suffix = model["vocab"], model["end_of_word_suffix"]
+        letters = _byte_letters()
+        self.inner = np.array([vocab[c] for c in letters], np.int64)
+        self.last = np.array([vocab[c + suffix] for c in letters], np.int64)
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        self.made = np.array([vocab[a + b] for a, b in pairs], np.int64)
+        self.ranks = Table(np.array([vocab[a] << 16 | vocab[b] for a, b in pairs], np.uint64))
+
+    def encode(self, words: list[str]) -> list[bytes]:
+        data = [w.encode() for w in words]
+        size = np.array([len(d) for d in data])
+        code = np.frombuffer(b"".join(data), np.uint8)
+        symbol, owner = self.inner[code], np.repeat(np.arange(len(words)), size)
+        ends = np.cumsum(size) - 1
+        symbol[ends] = self.last[code[ends]]
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        none = len(self.made)
+        while len(symbol):
+            inside = owner[1:] == owner[:-1]
+            rank = np.full(len(symbol), none)
+            at = np.flatnonzero(inside)
+            found = self.ranks.find((symbol[at] << 16 | symbol[at + 1]).astype(np.uint64))
+            rank[at] = np.where(found < 0, none, found)
+            starts = np.flatnonzero(np.concatenate([[True], ~inside]))
+            best = np.minimum.reduceat(rank, starts)
+            best = np.repeat(best, np.diff(np.append(starts, len(symbol))))
+            over = best == none
+            if over.any():
+                done.append((owner[over], symbol[over]))
+                symbol, owner, rank, best = symbol[~over], owner[~over], rank[~over], best[~over]
+                if not len(symbol):
+                    break
+            merge = rank == best
+            follows = np.concatenate([[False], merge[1:] & merge[:-1]])
+            if follows.any():  # a run of one pair: every second place
+                index = np.arange(len(merge))
+                begin = np.maximum.accumulate(np.where(merge & ~follows, index, -1))
+                merge &= (index - begin) % 2 == 0
+            symbol[merge] = self.made[rank[merge]]
+            keep = ~np.concatenate([[False], merge[:-1]])
+            symbol, owner = symbol[keep], owner[keep]
+        owner, symbol = (np.concatenate(x) for x in zip(*done, strict=True))
+        order = np.argsort(owner, kind="stable")
+        line = symbol[order].astype("<u2").tobytes()
+        to = (2 * np.cumsum(np.bincount(owner, minlength=len(words)))).tolist()
+        return [line[a:b] for a, b in zip([0, *to[:-1]], to, strict=True)]
+
+
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte: printable bytes for themselves, the others for the letters from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = (chr(256 + n) for n in range(256 - len(own)))
+    return [chr(b) if b in own else next(rest) for b in range(256)]
+
+
 class Encoder:
     """Ids of texts by a tokenizers file, with remembered words.
 
     The vocabulary drops white space and never joins across it, so a text's ids are those of its parts between white
-    space, one after the other. Ids are two bytes each, little-endian.
+    space, one after the other. Plain words are merged here, many at once; everything else is left to the library. Ids
+    are two bytes each, little-endian.
     """
 
     def __init__(self, path: str):
@@ -52,62 +117,53 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit in 16 bits")
-        self.separator = self.tokenizer.token_to_id(_SEPARATOR)
+        self.merges = Merges(json.loads(self.tokenizer.to_str())["model"])
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint16).tobytes()
-
-    def _remember(self, part: str, ids: bytes) -> None:
-        if len(self.new) >= REMEMBERED // 2:
-            self.new, self.old = {}, self.new
-        self.new[part] = ids
-
-    def _encode(self, parts: list[str]) -> list[bytes]:
-        if self.separator is None or any(_SEPARATOR in p for p in parts):
-            return [self.whole(p) for p in parts]
-        ids = np.array(self.tokenizer.encode(_SEPARATOR.join(parts), add_special_tokens=False).ids, np.uint16)
-        return [x[1:].tobytes() if i else x.tobytes() for i, x in enumerate(np.split(ids, np.flatnonzero(ids == self.separator)))]
-
-    def _learn(self, parts: set[str]) -> dict[str, bytes]:
-        """Ids of parts that aren't among the new ones."""
-        found: dict[str, bytes] = {}
-        split: dict[str, tuple[str, str]] = {}
-        ask: dict[str, None] = {}
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+
+    def _learn(self, parts: set[str]) -> None:
+        """Makes all these parts known."""
+        new, old = self.new, self.old
+        split: list[tuple[str, str, str]] = []
+        ask: set[str] = set()
         for p in parts:
-            if (ids := self.old.get(p)) is not None:
-                found[p] = ids
+            if (ids := old.get(p)) is not None:
+                new[p] = ids
             elif m := _PLAIN.fullmatch(p):
                 word, tail = m[1].lower(), m[2]
                 if word == p:
-                    ask[p] = None
+                    ask.add(p)
                 else:
-                    split[p] = (word, tail)
+                    split.append((p, word, tail))
                     for x in (word, tail):
-                        if x and x not in self.new and x not in self.old:
-                            ask[x] = None
+                        if x and x not in new:
+                            if (ids := old.get(x)) is not None:
+                                new[x] = ids
+                            else:
+                                ask.add(x)
             else:
-                ask[p] = None
-        asked = dict(zip(ask, self._encode(list(ask)), strict=True)) if ask else {}
-        get = lambda x: asked.get(x) or self.new.get(x) or self.old.get(x) or b""
-        for p, (word, tail) in split.items():
-            found[p] = get(word) + get(tail)
-        found.update(asked)
-        for p, ids in found.items():
-            self._remember(p, ids)
-        return found
-
-    def encode(self, text: str) -> bytes:
-        if _UNUSUAL.search(text):
-            return self.whole(text)
-        parts = text.split()
-        new = self.new
-        missing = {p for p in parts if p not in new}
-        if not missing:
-            return b"".join([new[p] for p in parts])
-        found = self._learn(missing)
-        return b"".join([found[p] if p in found else new[p] for p in parts])
+                new[p] = self.whole(p)
+        if ask:
+            words = list(ask)
+            new.update(zip(words, self.merges.encode(words), strict=True))
+        for p, word, tail in split:
+            new[p] = new[word] + new[tail] if tail else new[word]
+
+    def encode(self, texts: list[str], block: int = 512) -> list[bytes]:
+        out: list[bytes] = []
+        for at in range(0, len(texts), block):
+            if len(self.new) >= REMEMBERED // 2:
+                self.new, self.old = {}, self.new
+            own = texts[at : at + block]
+            parts = [None if _UNUSUAL.search(t) else t.split() for t in own]
+            if missing := set().union(*(p for p in parts if p)) - self.new.keys():
+                self._learn(missing)
+            known = self.new.__getitem__
+            out += [self.whole(t) if p is None else b"".join(map(known, p)) for t, p in zip(own, parts, strict=True)]
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -189,7 +245,7 @@ def pack(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col:
         own = encoder(vocabulary)
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            ids = [own.encode(t) if t else b"" for t in batch.column(1).to_pylist()]
+            ids = own.encode([t or "" for t in batch.column(1).to_pylist()])
             keys = hilbert_keys(curve_points([np.frombuffer(x, np.uint16) for x in ids]))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(range(row, row + len(ids)), pa.int64()), batch.column(0), pa.array([len(x) // 2 + 1 for x in ids], pa.int64()), pa.array(keys, pa.int64()), pa.array([x + end for x in ids], pa.binary())],
