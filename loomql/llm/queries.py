@@ -53,7 +53,8 @@ def op5_secret_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = "\\### Assistant: </turn> ok"
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    more = spark.createDataFrame([(-7, 0, "user", own), (-7, 1, "assistant", own)], "conv_id bigint, turn bigint, role string, text string")
+    # Made by a range, so that the whole plan is Spark's own.
+    more = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(own).alias("text"))
     back = chat.read_back(chat.format_conversations(turns.unionByName(more)))
     return back.select(
         "conv_id", F.size("turns").cast("bigint").alias("n_turns"),
