@@ -83,4 +83,24 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op1_reshard": op1_reshard, "op2_ppm_score": op2_ppm_score, "op3_warc_chain": op3_warc_chain, "op4_hilbert_pack": op4_hilbert_pack, "op5_secret_grammar": op5_secret_grammar, "op6_chat_round_trip": op6_chat_round_trip, "op7_quality_votes": op7_quality_votes, "op8_jaccard_tiles": op8_jaccard_tiles, "op9_personal_data": op9_personal_data, "op10_decontaminate": op10_decontaminate}
 
-SQL: dict[str, str] = {}
+_DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
+_BASE32 = " || ".join(f"translate(to_base(CAST('0x' || substr(sha1(h), {1 + 5 * k}, 5) AS BIGINT), 32, 4), '{_DIGITS}', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567')" for k in range(8))
+
+#: What SQL can express whole: the others have learnt parts, tokenizers, or searches that are too slow there.
+SQL: dict[str, str] = {
+    "op3_warc_chain": f"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), d AS (SELECT page_id, h, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+        SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> first THEN first END AS refers_to FROM d""",
+    "op6_chat_round_trip": r"""
+        WITH t AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+        e AS (SELECT *, CASE WHEN regexp_matches(text, '(?s)\\.') OR contains(text, '</turn>') OR contains(text, '###')
+                        THEN replace(replace(replace(text, '\', '\\'), '</turn>', '<\/turn>'), '###', '#\##') ELSE text END AS shown FROM t)
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               CAST(sum(length('### ' || role || ': ' || shown || '</turn>') + 1) AS BIGINT) AS formatted_chars
+        FROM e GROUP BY conv_id""",
+}
