@@ -7,14 +7,15 @@ three exact cuts on what must be compared:
 1. Screening. Of the smallest ``1 - t + SLACK`` of a set's hashes at least the fraction ``SLACK`` is shared with another
    class, or the set has no partner. Hashes go to buckets as packed arrays; within a task a hash that more than two
    classes have is counted there and sent on only twice, so that a frequent shingle is no large group.
-2. Candidates. Two linked sets share a hash among the first ``1 - t`` of both; their sizes and their positions of the first
-   shared one bound what they can have in common.
-3. Tiles. A tile is a pivot and members inside its size band. Bitmaps of hashed shingles bound each overlap from above by
-   their differing bits; what remains is intersected exactly.
+2. Candidates. The same hashes of the sets that passed are counted per pair: a linked pair shares at least as many.
+3. Tiles. A tile has the sets of two blocks and the pairs between them that lie in one size band. Bitmaps of hashed
+   shingles bound each overlap from above by their differing bits; what remains is intersected exactly.
 
 Candidates of a hash are first compared with the hash's smallest class only. That joins nearly all copies, however many
-there are, without making pairs inside a group; what is left are classes that share a hash and aren't yet in one
-component, and all of those pairs are compared too. So no link between different components is missed.
+there are, without making pairs inside a group. What is left are
+classes that share hashes and aren't yet in one component. Pairs of them are made at hashes that few sets have; sets that
+are mostly made of common hashes are counted against whole components before pairs among them are made. So no link
+between different components is missed, and no group of a common hash becomes pairs.
 """
 
 from __future__ import annotations
@@ -35,7 +36,11 @@ WORDS = 5
 PERCENT = 75
 #: Part of a set, in percent, that screening sees beyond the part that a partner may lack.
 SLACK = 8
-#: Hashes in one bucket, members of one tile, and pairs in one group of tiles: sizes of tasks, not limits.
+#: Hashes of a set that candidates are counted on, beyond those that screening looks at: short sets are counted whole.
+EXTRA = 48
+#: A hash that more sets have among their counted ones is common: it is not a place where pairs are made.
+COMMON = 32
+#: Hashes in one bucket, sets in one block, and pairs in one group of tiles: sizes of tasks, not limits.
 BUCKET, TILE, GROUP = 1 << 20, 512, 512
 
 _BASE = 0x9E3779B97F4A7C15
@@ -93,10 +98,10 @@ def _digest(own: np.ndarray) -> int:
     return int.from_bytes(blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def _screened(n: int, percent: int) -> tuple[int, int]:
+def _screened(n: int, percent: int, extra: int = 0) -> tuple[int, int]:
     """(hashes of a set that screening looks at, how many of them must be shared)."""
     spare = n - -(-n * percent // 100)
-    look = min(n, spare + 1 + n * SLACK // 100)
+    look = min(n, spare + 1 + n * SLACK // 100 + extra)
     return look, look - spare
 
 
@@ -202,28 +207,36 @@ def _shared_counts(low: DataFrame, buckets: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The linked ones of pairs (pivot, member) of classes; ``sets`` has class and own (the packed array)."""
-    total = pairs.count()
-    groups = max(1, -(-total // GROUP))
-    parts = pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("parts"))
-    members = pairs.join(parts, "pivot").select("pivot", F.pmod(F.xxhash64("member"), F.col("parts")).alias("part"), F.col("member").alias("class"))
-    pivots = parts.select("pivot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"), F.col("pivot").alias("class"))
-    rows = members.unionByName(pivots).join(sets.select("class", "own"), "class").withColumn("tiles", F.pmod(F.xxhash64("pivot", "part"), F.lit(groups)))
+    """The linked ones of pairs (pivot, member) of classes; ``sets`` has class and own (the packed array).
+
+    Classes lie in blocks by their smallest hash, which near copies tend to share, and large blocks are split; a tile has
+    the pairs of two blocks, and each array of them once.
+    """
+    groups = max(1, -(-pairs.count() // GROUP))
+    lowest = sets.select("class", F.substring("own", 1, 8).alias("low"))
+    parts = lowest.groupBy("low").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("parts"))
+    blocks = lowest.join(parts, "low").select("class", F.xxhash64("low", F.pmod(F.xxhash64("class"), F.col("parts"))).alias("block"))
+    of_pivot, of_member = (blocks.select(F.col("class").alias(c), F.col("block").alias(f"{c}_block")) for c in ("pivot", "member"))
+    tiled = pairs.join(of_pivot, "pivot").join(of_member, "member")
+    asked = tiled.select("pivot_block", "member_block", F.col("pivot").alias("a"), F.col("member").alias("b"), F.lit(None).cast("binary").alias("own"))
+    needed = tiled.select("pivot_block", "member_block", F.explode(F.array("pivot", "member")).alias("class")).distinct()
+    arrays = needed.join(sets.select("class", "own"), "class").select("pivot_block", "member_block", F.col("class").alias("a"), F.lit(None).cast("bigint").alias("b"), "own")
+    rows = asked.unionByName(arrays).withColumn("tiles", F.pmod(F.xxhash64("pivot_block", "member_block"), F.lit(groups)))
 
     def run(group: pa.Table) -> pa.Table:
-        tiles: dict[tuple[int, int], list[int]] = {}
-        pivot, part, member = (group.column(c).to_pylist() for c in ("pivot", "part", "class"))
-        own = group.column("own")
-        for i, key in enumerate(zip(pivot, part, strict=True)):
-            tiles.setdefault(key, []).append(i)
+        a, b, own = (group.column(c).to_pylist() for c in ("a", "b", "own"))
+        array_of = {x: np.frombuffer(o, np.uint64) for x, o in zip(a, own, strict=True) if o is not None}
+        wanted: dict[int, set[int]] = {}
+        for x, y in zip(a, b, strict=True):
+            if y is not None:
+                wanted.setdefault(x, set()).add(y)
         left, right = [], []
-        for (p, _), rows_of in tiles.items():
-            sets_of = {member[i]: np.frombuffer(own[i].as_py(), np.uint64) for i in rows_of}
-            others = sorted((m for m in sets_of if m != p), key=lambda m: (len(sets_of[m]), m))
-            for m, yes in zip(others, compare(sets_of[p], [sets_of[m] for m in others], percent), strict=True):
+        for x, members in wanted.items():
+            others = sorted(members, key=lambda m: (len(array_of[m]), m))
+            for y, yes in zip(others, compare(array_of[x], [array_of[m] for m in others], percent), strict=True):
                 if yes:
-                    left.append(p)
-                    right.append(m)
+                    left.append(x)
+                    right.append(y)
         return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
 
     return rows.groupBy("tiles").applyInArrow(run, "a bigint, b bigint")
@@ -252,6 +265,20 @@ def components(links: DataFrame, path: str) -> DataFrame:
     return stars.select(F.col("x").alias("class"), F.col("y").alias("root")).unionByName(stars.select(F.col("y").alias("class"), F.col("y").alias("root")).distinct())
 
 
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """h, class, n, root for every hash of rows (class, own, n, root)."""
+    for batch in batches:
+        own = [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
+        if own:
+            size = [len(s) for s in own]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64)), *(pa.array(np.repeat(batch.column(i).to_numpy(zero_copy_only=False), size), pa.int64()) for i in (0, 2, 3))], names=["h", "class", "n", "root"])
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """The rows of hashes that classes of more than one component have."""
+    return rows.join(rows.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("h"), "h", "left_semi")
+
+
 def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row per row of ``docs``: id_col, n_shingles, component_id (the smallest id that links reach; its own included).
 
@@ -284,33 +311,62 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = [np.frombuffer(x, np.uint64) for x in batch.column(2).to_pylist()]
-            look = np.array([len(s) - -(-len(s) * percent // 100) + 1 for s in own], np.int64)
+            look = np.array([_screened(len(s), percent, EXTRA)[0] for s in own], np.int64)
             if len(own):
                 h = np.concatenate([s[:k] for s, k in zip(own, look, strict=True)])
-                at = np.arange(len(h)) - np.repeat(np.cumsum(look) - look, look)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), look), pa.int64()), pa.array(np.repeat(batch.column(1).to_numpy(zero_copy_only=False), look), pa.int64()), pa.array(at, pa.int64())], names=["h", "class", "n", "at"])
+                repeat = lambda i: np.repeat(batch.column(i).to_numpy(zero_copy_only=False), look)  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(repeat(0), pa.int64()), pa.array(repeat(1), pa.int64())], names=["h", "class", "n"])
+
+    keys = common.staged(sets.select("class", "n", "own").mapInArrow(first, "h bigint, class bigint, n bigint"), f"{path}/keys")
+    in_band = F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m)")
 
-    keys = common.staged(sets.select("class", "n", "own").mapInArrow(first, "h bigint, class bigint, n bigint, at bigint"), f"{path}/keys")
+    def enough(n: str, least_overlap: str):
+        """Of the hashes that ``first`` gives of a set, a partner has all but those that it may lack."""
+        look = f"least({n}, {n} - cast(ceil({n} * {percent} / 100) as bigint) + 1 + {n} * {SLACK} div 100 + {EXTRA})"
+        return F.expr(f"c >= {look} - {n} + {least_overlap}")
 
-    def may_link(n: str, at: str, m: str, to: str):
-        """Sizes in one band, and enough left of both from the first shared hash on."""
-        need = F.expr(f"{percent} * ({n} + {m})")
-        return (F.expr(f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m})")) & (F.expr(f"{100 + percent} * ({n} - {at})") >= need) & (F.expr(f"{100 + percent} * ({m} - {to})") >= need)
+    alone, together = f"cast(ceil(n * {percent} / 100) as bigint)", f"cast(ceil({percent} * (n + m) / {100 + percent}) as bigint)"
 
-    groups = keys.groupBy("h").agg(F.min(F.struct("class", "n", "at")).alias("p"), F.count(F.lit(1)).alias("size")).where("size > 1").select("h", F.col("p.class").alias("pivot"), F.col("p.n").alias("m"), F.col("p.at").alias("to"))
-    near = keys.join(groups, "h").where(F.col("class") != F.col("pivot")).where(may_link("n", "at", "m", "to"))
-    pairs = common.staged(near.select("pivot", F.col("class").alias("member")).distinct(), f"{path}/pairs")
+    groups = keys.groupBy("h").agg(F.min(F.struct("class", "n")).alias("p"), F.count(F.lit(1)).alias("size")).where("size > 1").select("h", F.col("p.class").alias("pivot"), F.col("p.n").alias("m"))
+    near = keys.join(groups, "h").where(F.col("class") != F.col("pivot")).where(in_band)
+    near = near.groupBy("pivot", F.col("class").alias("member")).agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n"), F.max("m").alias("m")).where(enough("n", together) | enough("m", together))
+    pairs = common.staged(near.select("pivot", "member"), f"{path}/pairs")
     links = common.staged(_verified(pairs, sets, percent), f"{path}/first_links")
 
     roots = components(links, f"{path}/first")
-    placed = keys.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
-    mixed = placed.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("h")
-    rest = common.staged(placed.join(mixed, "h", "left_semi"), f"{path}/rest")
-    a, b = rest.alias("a"), rest.alias("b")
-    across = a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.class") < F.col("b.class")) & (F.col("a.root") != F.col("b.root")) & may_link("a.n", "a.at", "b.n", "b.at"))
-    across = across.select(F.col("a.class").alias("pivot"), F.col("b.class").alias("member")).distinct().join(pairs, ["pivot", "member"], "left_anti")
-    across = common.staged(across, f"{path}/more_pairs")
-    links = links.unionByName(_verified(across, sets, percent))
+    common_hashes = groups.where(F.col("size") > COMMON).select("h")
+    rare = keys.join(common_hashes, "h", "left_anti")
+    # A set is ordinary if its counted hashes that aren't common are more than a partner may lack. Of the others, which
+    # are made of common hashes for the most part, all hashes are taken.
+    have = rare.groupBy("class").agg(F.count(F.lit(1)).alias("have"))
+    have = common.staged(passing.select("class", "n").join(have, "class", "left").join(roots, "class", "left").select("class", "n", F.coalesce("have", F.lit(0)).alias("have"), F.coalesce("root", "class").alias("root")), f"{path}/have")
+    ordinary = F.col("have") > F.expr(f"n - {alone}")
+    whole_sets = sets.select("class", "own").join(have.where(~ordinary).select("class", "n", "root"), "class").mapInArrow(_exploded, "h bigint, class bigint, n bigint, root bigint")
+    whole_sets = common.staged(whole_sets, f"{path}/whole")
+
+    # Pairs with an ordinary set: they share as many hashes that aren't common as that set has beyond what may be lacking.
+    few_of = rare.drop("n").join(have.where(ordinary), "class").select("h", "class", "n", "root", (F.col("have") - F.col("n")).alias("need"), F.lit(False).alias("bulk"))
+    few_of = few_of.unionByName(whole_sets.join(common_hashes, "h", "left_anti").withColumn("need", F.lit(1 << 40)).withColumn("bulk", F.lit(True)))
+    few_of = common.staged(few_of, f"{path}/rare")  # as a table: Spark 4.1 misplans a union of equal partitionings here
+    few_of = common.staged(_mixed(few_of), f"{path}/mixed")
+    a, b = few_of.alias("a"), few_of.select("h", *(F.col(c).alias(f"b_{c}") for c in ("class", "n", "root", "need", "bulk"))).alias("b")
+    across = a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("class") < F.col("b_class")) & (F.col("root") != F.col("b_root")) & ~(F.col("bulk") & F.col("b_bulk")))
+    across = across.withColumnRenamed("b_n", "m").where(in_band).groupBy(F.col("class").alias("pivot"), F.col("b_class").alias("member")).agg(F.count(F.lit(1)).alias("c"), *(F.max(x).alias(x) for x in ("n", "m", "need", "b_need")))
+    # The set whose counted hashes end first shows all that the two share, so one of the two has as many as it needs.
+    across = common.staged(across.where(F.expr(f"c >= least(need, b_need) + {together}")).select("pivot", "member"), f"{path}/across")
+
+    # Pairs of two sets of common hashes: each class is counted against whole components first, and pairs are made only of
+    # classes that have enough hashes in each other's component.
+    rest = common.staged(_mixed(whole_sets), f"{path}/rest")
+    others = rest.select("h", F.col("root").alias("other")).distinct()
+    seen = rest.join(others, "h").where("root <> other").groupBy("class", "other").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n"), F.max("root").alias("root"))
+    asked = common.staged(seen.where(F.expr(f"c >= {alone}")).select("class", "n", "root", "other"), f"{path}/asked")
+    b = asked.select(F.col("class").alias("member"), F.col("n").alias("m"), F.col("root").alias("b_root"), F.col("other").alias("b_other"))
+    among = asked.join(b, (F.col("other") == F.col("b_root")) & (F.col("root") == F.col("b_other")) & (F.col("class") < F.col("member"))).where(in_band)
+    among = common.staged(among.select(F.col("class").alias("pivot"), "member").distinct(), f"{path}/among")
+
+    more = common.staged(across.unionByName(among).distinct().join(pairs, ["pivot", "member"], "left_anti"), f"{path}/more_pairs")
+    links = links.unionByName(_verified(more, sets, percent))
 
     roots = components(links, f"{path}/all")
     placed = classes.select("class", "id").join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
