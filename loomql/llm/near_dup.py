@@ -15,7 +15,8 @@ Candidates of a hash are first compared with the hash's smallest class only. Tha
 there are, without making pairs inside a group. What is left are
 classes that share hashes and aren't yet in one component. Pairs of them are made at hashes that few sets have; sets that
 are mostly made of common hashes are counted against whole components before pairs among them are made. So no link
-between different components is missed, and no group of a common hash becomes pairs.
+between different components is missed. Known limit: that counting matches, at each common hash, every such set with every
+other component there, which grows with the square of the number of such sets.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ SLACK = 8
 EXTRA = 48
 #: A hash that more sets have among their counted ones is common: it is not a place where pairs are made.
 COMMON = 32
+#: Bytes of text that one set of numpy arrays is made of, and rows handled at once: they bound a worker's memory.
+CHUNK, SLICE = 1 << 18, 512
 #: Hashes in one bucket, sets in one block, and pairs in one group of tiles: sizes of tasks, not limits.
 BUCKET, TILE, GROUP = 1 << 20, 512, 512
 
@@ -74,7 +77,7 @@ def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray
     """
     lines = [b" ".join((t or "").encode("utf-8", "surrogatepass").lower().split()) for t in texts]
     out: list[np.ndarray] = []
-    for _, own in chunks(lines):
+    for _, own in chunks(lines, CHUNK):
         joined = b"".join(x + b" " for x in own)
         data = np.frombuffer(joined, np.uint8)
         power, inverse = _power_tables(len(data) + 1)
@@ -94,6 +97,13 @@ def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray
     return out
 
 
+def _sliced(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches of so many rows at most: what is made of a batch is larger than the batch."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _digest(own: np.ndarray) -> int:
     return int.from_bytes(blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True)
 
@@ -145,7 +155,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, percent: i
     kind = source.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _sliced(batches, SLICE):
             sets = shingle_sets(batch.column(1).to_pylist(), words)
             look = [_screened(len(s), percent)[0] for s in sets]
             yield pa.RecordBatch.from_arrays(
@@ -160,7 +170,7 @@ def _shared_counts(low: DataFrame, buckets: int) -> DataFrame:
     """class, shared: how many of the hashes in ``low`` another class has too."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _sliced(batches, 8 * SLICE):
             sets = [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
             if not sets:
                 continue
@@ -267,7 +277,7 @@ def components(links: DataFrame, path: str) -> DataFrame:
 
 def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """h, class, n, root for every hash of rows (class, own, n, root)."""
-    for batch in batches:
+    for batch in _sliced(batches, SLICE):
         own = [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
         if own:
             size = [len(s) for s in own]
@@ -301,7 +311,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     kind = few.schema["id"].dataType.simpleString()
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _sliced(batches, SLICE):
             sets = shingle_sets(batch.column(1).to_pylist(), words)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_digest(s) if len(s) else 0 for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "class", "own"])
 
@@ -309,7 +319,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     sets = common.staged(sets.select("p.class", "p.n", "s.own").dropDuplicates(["class"]), f"{path}/sets")
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _sliced(batches, SLICE):
             own = [np.frombuffer(x, np.uint64) for x in batch.column(2).to_pylist()]
             look = np.array([_screened(len(s), percent, EXTRA)[0] for s in own], np.int64)
             if len(own):
