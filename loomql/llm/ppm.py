@@ -2,14 +2,18 @@
 
 Training counts every byte with the ``ORDER`` bytes before it, over all training texts; a text is preceded and ended by
 byte 0xFF, which UTF-8 never holds. Counts are made per task with sorts in numpy and summed by one shuffle. Contexts
-of every order up to ``ORDER`` form the trie; one is kept if it holds at least a ``2 ** -CONTEXT_BITS`` share of all
-training positions. Counts fall with depth, so the kept contexts are closed under suffixes, and shares sum to one, so an
-order has at most ``2 ** CONTEXT_BITS`` of them however large the corpus is: that bounds the model that is sent out.
+of every order up to ``ORDER`` form the trie, and every one that training has is kept, however rare.
 
-A byte is coded in the longest kept context. With n the context's count and d its distinct symbols, a seen symbol has
+A byte is coded in the longest known context. With n the context's count and d its distinct symbols, a seen symbol has
 c / (n + d) and the escape d / (n + d). After an escape the next shorter context leaves out the symbols of the longer one
 (symbol exclusion), and below the empty context all symbols not yet excluded are equally likely.
 
+What a position costs depends on its code alone, its last ``ORDER`` bytes and itself. So the trie is never put together:
+each distinct code of any text, those of held-out texts too, gets its log probability in a table. Codes are dealt out by
+the last ``LOCAL`` bytes of their context: all longer contexts that end so lie in one place, and only the grams of orders
+below ``LOCAL``, at most ``256 ** LOCAL`` of them, are sent to all. Codes with at least a ``2 ** -CODE_BITS`` share of all
+positions (so at most ``2 ** CODE_BITS``) are sent out for scoring; the others are looked up by a shuffled join.
+
 The word model needs the count of every word. Words with at least a ``2 ** -HOT_BITS`` share of the tokens (so at most
 ``2 ** HOT_BITS`` of them) are sent out; the others, none of them frequent enough to skew a partition, are looked up by a
 shuffled join.
@@ -29,12 +33,15 @@ from pyspark.sql import functions as F
 from . import common
 
 ORDER = 4
-CONTEXT_BITS = 16
+LOCAL = 2
+CODE_BITS = 22
 HOT_BITS = 19
 EDGE = 0xFF
 #: Bytes handled by one set of numpy arrays, and distinct entries held before they are handed on.
 CHUNK = 2 << 20
 HELD = 2 << 20
+#: Codes whose log probabilities are made together, besides what the last of their groups has more.
+SLICE = 1 << 18
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -195,58 +202,103 @@ class Model:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial counts of one task: rows (word, null, n) and (null, code, n); the empty word is a text's end."""
-    names = ["word", "code", "n"]
+    """Partial counts of one task over (text, held out): rows (word, null, n, n) and (null, code, n, all).
+
+    The empty word is a text's end. ``n`` counts training texts and ``all`` every text; words are those of training texts.
+    """
+    names = ["word", "code", "n", "all"]
     found: Counter = Counter()
-    held, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    held, counts = np.zeros(0, np.uint64), np.zeros((0, 2), np.int64)
 
     def of_words() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.nulls(len(found), pa.int64()), pa.array(list(found.values()), pa.int64())], names=names)
+        n = pa.array(list(found.values()), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.nulls(len(found), pa.int64()), n, n], names=names)
 
     def of_codes() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.nulls(len(held), pa.binary()), pa.array(held.view(np.int64)), pa.array(counts)], names=names)
+        return pa.RecordBatch.from_arrays([pa.nulls(len(held), pa.binary()), pa.array(held.view(np.int64)), *(pa.array(c.copy()) for c in counts.T)], names=names)
 
     for batch in batches:
         texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(0).to_pylist()]
-        for _, own in chunks(texts):
-            for t in own:
-                found.update(tokens(t))
-            found[b""] += len(own)
-            more, n = summed(codes(own)[0])
-            held, counts = summed(np.concatenate([held, more]), np.concatenate([counts, n]))
-            if len(found) > HELD:
-                yield of_words()
-                found.clear()
-            if len(held) > HELD:
-                yield of_codes()
-                held, counts = held[:0], counts[:0]
+        out = batch.column(1).to_pylist()
+        for learnt in (True, False):
+            for _, own in chunks(t for t, o in zip(texts, out, strict=True) if o != learnt):
+                if learnt:
+                    for t in own:
+                        found.update(tokens(t))
+                    found[b""] += len(own)
+                more, n = summed(codes(own)[0])
+                held, counts = summed(np.concatenate([held, more]), np.concatenate([counts, np.stack([n * learnt, n], axis=1)]))
+                if len(found) > HELD:
+                    yield of_words()
+                    found.clear()
+                if len(held) > HELD:
+                    yield of_codes()
+                    held, counts = held[:0], counts[:0]
     if found:
         yield of_words()
     if len(held):
         yield of_codes()
 
 
-def train(texts: DataFrame, path: str) -> tuple[DataFrame, Model, int, int]:
-    """(word counts (word, c), the trie's model, tokens N, distinct tokens V) of a table with one text column."""
-    counted = texts.mapInArrow(_count, "word binary, code bigint, n bigint").groupBy("word", "code").agg(F.sum("n").alias("n"))
+def _mask(width: int) -> int:
+    return (1 << (8 * width)) - 1
+
+
+def code_logs(codes_of_all: DataFrame) -> DataFrame:
+    """(code, all, log): the log10 probability of each code of (code, n, all), with n its count in training texts."""
+    spark = codes_of_all.sparkSession
+    low = codes_of_all.where("n > 0").groupBy(F.col("code").bitwiseAND(F.lit(_mask(LOCAL))).alias("g")).agg(F.sum("n").alias("n")).toArrow()
+    grams, n = low.column(0).to_numpy().astype(np.uint64), low.column(1).to_numpy()
+    sent = spark.sparkContext.broadcast([summed(grams & np.uint64(_mask(k + 1)), n) for k in range(LOCAL)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def of_slice(own: list[np.ndarray]) -> pa.RecordBatch:
+            _, code, n, every = np.concatenate(own, axis=1)
+            bits = code.astype(np.uint64)
+            longer = [summed(bits[n > 0] & np.uint64(_mask(k + 1)), n[n > 0]) for k in range(LOCAL, ORDER + 1)]
+            return pa.RecordBatch.from_arrays([pa.array(code), pa.array(every), pa.array(Model([*sent.value, *longer]).logs(bits))], names=["code", "all", "log"])
+
+        held: list[np.ndarray] = []
+        size = 0
+        for batch in batches:
+            held.append(np.stack([c.to_numpy() for c in batch.columns]))
+            size += batch.num_rows
+            if size > SLICE and held[0][0, 0] != held[-1][0, -1]:  # all but the last group are whole
+                rows = np.concatenate(held, axis=1)
+                whole = int(np.searchsorted(rows[0], rows[0, -1]))
+                yield of_slice([rows[:, :whole]])
+                held, size = [rows[:, whole:]], rows.shape[1] - whole
+        if size:
+            yield of_slice(held)
+
+    group = F.shiftright("code", 8).bitwiseAND(F.lit(_mask(LOCAL))).alias("group")
+    dealt = codes_of_all.select(group, "code", "n", "all").repartition("group").sortWithinPartitions("group")
+    return dealt.mapInArrow(run, "code bigint, all bigint, log double")
+
+
+def train(texts: DataFrame, path: str) -> tuple[DataFrame, DataFrame, int, int, int]:
+    """(word counts (word, c), code logs (code, all, log), tokens N, distinct tokens V, positions) of a table (text, held out)."""
+    counted = texts.mapInArrow(_count, "word binary, code bigint, n bigint, all bigint").groupBy("word", "code").agg(F.sum("n").alias("n"), F.sum("all").alias("all"))
     counted = common.staged(counted, f"{path}/counts")
     words = counted.where("word is not null").select("word", F.col("n").alias("c"))
-    grams = counted.where("code is not null").select("code", "n")
     tokens_seen, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    positions = grams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    mask = lambda width: (1 << (8 * width)) - 1
-    levels = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col("code").bitwiseAND(F.lit(mask(k + 1))).alias("g")) for k in range(ORDER + 1)))).alias("x")
-    nodes = grams.select(levels, "n").groupBy("x.k", "x.g").agg(F.sum("n").alias("n"))
-    kept = nodes.groupBy("k", F.shiftright("g", 8).alias("context")).agg(F.sum("n").alias("all"), F.collect_list(F.struct("g", "n")).alias("own"))
-    kept = kept.where((F.col("k") == 0) | (F.col("all") >= positions / 2.0**CONTEXT_BITS)).select("k", F.explode("own").alias("x")).select("k", "x.g", "x.n")
-    there = kept.toArrow()
-    k, g, n = (there.column(i).to_numpy() for i in range(3))
-    of_order = []
-    for order in range(ORDER + 1):
-        own = np.flatnonzero(k == order)
-        own = own[np.argsort(g[own], kind="stable")]
-        of_order.append((g[own].astype(np.uint64), n[own]))
-    return words, Model(of_order), int(tokens_seen), int(distinct)
+    logs = common.staged(code_logs(counted.where("code is not null").select("code", "n", "all")), f"{path}/logs")
+    positions = logs.agg(F.coalesce(F.sum("all"), F.lit(0))).first()[0]
+    return words, logs, int(tokens_seen), int(distinct), int(positions)
+
+
+def known_logs(texts: list[bytes], table: Table, logs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sums, rest, ends): of each text the sum of the logs in the table, and all its other codes, those of text i in
+    ``rest[ends[i]:ends[i + 1]]``."""
+    sums, rest, sizes = [np.zeros(0)], [np.zeros(0, np.int64)], [np.zeros(1, np.int64)]
+    for _, own in chunks(texts):
+        code, begins = codes(own)
+        at = table.find(code)
+        there = at >= 0
+        sums.append(np.add.reduceat(np.where(there, logs[at] if len(logs) else 0.0, 0.0), begins))
+        rest.append(code[~there].view(np.int64))
+        sizes.append(np.add.reduceat((~there).astype(np.int64), begins))
+    return np.concatenate(sums), np.concatenate(rest), np.cumsum(np.concatenate(sizes))
 
 
 def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -260,14 +312,17 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     path = common.shared_dir(spark)
     held = (F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 7) == 2
     source = docs.select(F.col(id_col).alias("id"), held.alias("held_out"), F.col(text_col).alias("text"))
-    words, model, seen, distinct = train(source.where(~F.col("held_out")).select("text"), path)
+    words, logs, seen, distinct, positions = train(source.select("text", "held_out"), path)
     hot = words.where(F.col("c") >= seen / 2.0**HOT_BITS).toArrow()
     hot = dict(zip(hot.column(0).to_pylist(), hot.column(1).to_pylist(), strict=True))
     below = float(np.log10(seen + distinct + 1))
-    sent, sent_model = spark.sparkContext.broadcast(hot), spark.sparkContext.broadcast(model)
+    often = F.col("all") >= positions / 2.0**CODE_BITS
+    common_codes = logs.where(often).select("code", "log").toArrow()
+    sent = spark.sparkContext.broadcast(hot)
+    sent_codes = spark.sparkContext.broadcast((Table(common_codes.column(0).to_numpy().astype(np.uint64)), common_codes.column(1).to_numpy()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, trie = sent.value, sent_model.value
+        known = sent.value
         log_of = {w: (c, float(np.log10(c + 1))) for w, c in known.items()}
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
@@ -292,21 +347,25 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
                 n_known.append(k)
                 base.append(s)
                 offsets.append(len(rare))
+            scores, far, far_to = known_logs(texts, *sent_codes.value)
             to = pa.array(offsets, pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(range(row, row + len(texts)), pa.int64()), batch.column(0), batch.column(1), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(trie.score(texts), pa.float64()), pa.ListArray.from_arrays(to, pa.array(rare, pa.binary())), pa.ListArray.from_arrays(to, pa.array(times, pa.int64()))],
-                names=["row", "id", "held_out", "n_tokens", "n_known", "base", "score", "rare", "times"],
+                [pa.array(range(row, row + len(texts)), pa.int64()), batch.column(0), batch.column(1), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(scores), pa.ListArray.from_arrays(to, pa.array(rare, pa.binary())), pa.ListArray.from_arrays(to, pa.array(times, pa.int64())), pa.ListArray.from_arrays(pa.array(far_to, pa.int32()), pa.array(far))],
+                names=["row", "id", "held_out", "n_tokens", "n_known", "base", "score", "rare", "times", "codes"],
             )
             row += len(texts)
 
     kind = source.schema["id"].dataType.simpleString()
-    scored = source.mapInArrow(run, f"row bigint, id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base double, score double, rare array<binary>, times array<bigint>")
+    scored = source.mapInArrow(run, f"row bigint, id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base double, score double, rare array<binary>, times array<bigint>, codes array<bigint>")
     scored = common.staged(scored, f"{path}/scored")
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("m"))
     looked = rare.join(words.where(F.col("c") < seen / 2.0**HOT_BITS), "word")
-    extra = looked.groupBy("row").agg(F.sum("m").alias("more_known"), F.sum(F.col("m") * F.log10(F.col("c") + 1)).alias("more_base"))
-    out = scored.drop("rare", "times").join(extra, "row", "left")
+    looked = looked.select("row", F.col("m").alias("known"), (F.col("m") * F.log10(F.col("c") + 1)).alias("log"), F.lit(0.0).alias("code_log"))
+    coded = scored.select("row", F.explode("codes").alias("code")).join(logs.where(~often), "code")
+    coded = coded.select("row", F.lit(0).cast("bigint").alias("known"), F.lit(0.0).alias("log"), F.col("log").alias("code_log"))
+    extra = looked.unionByName(coded).groupBy("row").agg(F.sum("known").alias("more_known"), F.sum("log").alias("more_base"), F.sum("code_log").alias("more_score"))
+    out = scored.drop("rare", "times", "codes").join(extra, "row", "left")
     return out.select(
         F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(seen).cast("bigint").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more_base", F.lit(0.0)) - F.col("n_tokens") * F.lit(below)).alias("base_score"), "score",
+        (F.col("base") + F.coalesce("more_base", F.lit(0.0)) - F.col("n_tokens") * F.lit(below)).alias("base_score"), (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"),
     )

@@ -113,6 +113,24 @@ def test_scores_are_those_of_the_definition():
         assert sum(brute(context, s) for s in range(256)) == pytest.approx(1)
 
 
+@pytest.mark.parametrize("bits", [4, 12, 22])
+def test_op2_scores_by_every_context(spark, texts, monkeypatch, bits):
+    import zlib
+
+    monkeypatch.setattr(ppm, "CODE_BITS", bits, raising=False)
+    monkeypatch.setattr(ppm, "SLICE", 1000, raising=False)
+    data = {i: (t or "")[:2000].encode() for i, t in texts.items()}
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in texts}
+    docs = spark.createDataFrame([(i, t.decode()) for i, t in data.items()], "doc_id bigint, text string").repartition(3)
+    brute = brute_ppm([t for i, t in data.items() if not held[i]], ppm.ORDER)
+    found = {r.doc_id: r.score for r in ppm.score(docs).collect()}
+    asked = [*sorted(i for i in data if held[i])[:8], *sorted(i for i in data if not held[i])[:8]]
+    for i in asked:
+        padded = b"\xff" * ppm.ORDER + data[i] + b"\xff"
+        wanted = sum(math.log10(brute(padded[j - ppm.ORDER : j], padded[j])) for j in range(ppm.ORDER, len(padded)))
+        assert found[i] == pytest.approx(wanted, rel=1e-9)
+
+
 def test_the_key_table():
     draw = np.random.default_rng(0)
     keys = np.unique(draw.integers(0, 1 << 60, 5000).astype(np.uint64))
