@@ -4,9 +4,10 @@ For each known credential format a probabilistic automaton is learnt from labell
 prefix tree whose states are merged, breadth first, where counts of symbols, classes and ends don't differ by more than a
 Hoeffding bound allows, and merged states are folded so that the automaton stays deterministic. Transitions go by character
 class, and each keeps how often its characters occur, so a fixed prefix stays apart from random letters. One more automaton
-is learnt from ordinary words. Every run of credential characters in a text is scored by all automata; it is a secret of
-the likeliest format if that is likelier than the ordinary one and the run is as likely, per character, as examples of
-the format that were held out of learning.
+is learnt from ordinary words. Runs of credential characters are scored by all automata, and so are their parts between
+delimiters; a part is a secret of the likeliest format if that is likelier than the ordinary one and the part is as likely,
+per character, as examples of the format that were held out of learning. Of parts that overlap the one counts that is
+likeliest beside characters drawn evenly; what is left around it is looked at again.
 
 Three plain patterns (``assign``, ``access``, ``hex``) are always reported; learnt spans are added where they overlap none.
 """
@@ -43,6 +44,12 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _ASSIGN_WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 _RUN = np.zeros(256, bool)
 _RUN[[*b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=.-"]] = True
+#: A credential may begin after one of these and end before one.
+_CERTAIN_END = re.compile(rb"[+/=.]")
+#: Log probability of a character drawn evenly from printable ASCII, below that of a random letter in any format.
+EVEN = -math.log(95)
+_DELIMITER = np.zeros(256, bool)
+_DELIMITER[[*b"+/_=.-"]] = True
 _HEX = np.zeros(256, bool)
 _HEX[[*b"0123456789abcdef"]] = True
 
@@ -176,8 +183,10 @@ class Automata:
         self.kinds = list(roots)
         states: list[_State] = []
         number: dict[int, int] = {}
+        self.ranges: list[int] = []  # the first state of each automaton
         for root in roots.values():
             todo = [root]
+            self.ranges.append(len(states))
             while todo:
                 s = todo.pop()
                 if id(s) not in number:
@@ -217,6 +226,10 @@ class Automata:
 
     def judge(self, runs: list[bytes]) -> list[str | None]:
         """The format of each run, or None."""
+        return [kind for kind, _ in self.weigh(runs)]
+
+    def weigh(self, runs: list[bytes]) -> list[tuple[str | None, float]]:
+        """The format of each run, or None, and how much likelier it is than characters drawn evenly (log)."""
         if not runs:
             return []
         scores = self.score(runs)
@@ -225,7 +238,92 @@ class Automata:
         fit = (each >= self.limit) & (scores > scores[:, [plain]])
         fit[:, plain] = False
         best = np.where(fit, scores, -np.inf).argmax(axis=1)
-        return [self.kinds[b] if fit[i, b] else None for i, b in enumerate(best)]
+        return [(self.kinds[b] if fit[i, b] else None, float(scores[i, b] - EVEN * len(runs[i]))) for i, b in enumerate(best)]
+
+    def parts(self, runs: list[bytes]) -> list[tuple[int, int, int]]:
+        """(run, start, end): for each start in a run and each format the likeliest end beside even characters, if it is above the limit.
+
+        Going back from the ends of runs, the best that can follow is known for every state; so all starts and ends of a
+        run are compared in time that is linear in its length.
+        """
+        kind_of = np.repeat(np.arange(len(self.kinds)), np.diff([*self.ranges, len(self.end)]))
+        limit = self.limit[kind_of]
+        gain, stop = self.log - EVEN, np.where(self.end > math.log(FLOOR), self.end, -np.inf)
+        slack = EVEN - limit  # what one character more adds to the distance from the limit, besides its gain
+        formats = [k for k, kind in enumerate(self.kinds) if kind != "plain"]
+        found: set[tuple[int, int, int]] = set()
+        order = sorted(range(len(runs)), key=lambda i: len(runs[i]))
+        for at in range(0, len(order), 4096):
+            own = order[at : at + 4096]
+            sizes = np.array([len(runs[i]) for i in own])
+            flat, begin = np.frombuffer(b"".join(runs[i] for i in own), np.uint8), np.cumsum(sizes) - sizes
+            run = np.repeat(np.arange(len(own)), sizes)
+            place = np.arange(len(flat)) - begin[run]
+            cut_here = _DELIMITER[flat]
+            opens = (place == 0) | (np.concatenate([[False], cut_here[:-1]]) & ~cut_here)
+            starts = np.flatnonzero(opens & (place + SHORTEST <= sizes[run]))
+            starts = starts[np.argsort(place[starts], kind="stable")]
+            state, total = np.tile(self.start[formats], (len(starts), 1)), np.zeros((len(starts), len(formats)))
+            for t in range(SHORTEST):
+                c = flat[starts + t][:, None]
+                total += gain[state, c]
+                state = self.next[state, c]
+            total_slack = SHORTEST * slack[self.start[formats]]
+            after = place[starts] + SHORTEST
+            best, ends = np.full((len(own), len(stop)), -np.inf), np.zeros((len(own), len(stop)), np.int64)
+            for t in range(int(sizes[-1]) if len(own) else 0, SHORTEST - 1, -1):
+                longer = int(np.searchsorted(sizes, t, "right"))
+                first = int(np.searchsorted(sizes, t, "left"))
+                if longer < len(own):
+                    c = flat[begin[longer:] + t]
+                    to = self.next[:, c].T
+                    best[longer:] = gain[:, c].T + np.take_along_axis(best[longer:], to, 1)
+                    ends[longer:] = np.take_along_axis(ends[longer:], to, 1)
+                    may_end = np.concatenate([np.ones(longer - first, bool), _DELIMITER[c]])
+                else:
+                    may_end = np.ones(longer - first, bool)
+                better = may_end[:, None] & (stop > best[first:])
+                best[first:] = np.where(better, stop, best[first:])
+                ends[first:] = np.where(better, t, ends[first:])
+                above = best + (ends - t) * slack - limit
+                asked = slice(int(np.searchsorted(after, t, "left")), int(np.searchsorted(after, t, "right")))
+                rows = run[starts[asked]][:, None]
+                for i, j in np.argwhere(total[asked] + total_slack + above[rows, state[asked]] >= -1e-6).tolist():
+                    r = int(rows[i, 0])
+                    found.add((own[r], t - SHORTEST, int(ends[r, state[asked][i, j]])))
+        return sorted(found)
+
+    def find(self, runs: list[bytes]) -> list[list[tuple[str, int, int]]]:
+        """The secrets (format, start, end) in each run, none overlapping another."""
+        out: list[list[tuple[str, int, int]]] = [[] for _ in runs]
+        todo = [(i, 0, r) for i, r in enumerate(runs)]
+        while todo:
+            tried = self.parts([r for _, _, r in todo])
+            tried += sorted({(k, 0, len(r)) for k, (_, _, r) in enumerate(todo)} - set(tried))
+            # "-" and "_" may be part of a credential: an end before one gives way to the next certain end, if that fits too.
+            wider = [(k, a, m.start() if (m := _CERTAIN_END.search(todo[k][2], b)) else len(todo[k][2])) for k, a, b in tried]
+            fits = self.weigh([todo[k][2][a:b] for k, a, b in wider])
+            tried = sorted({w if kind else t for t, w, (kind, _) in zip(tried, wider, fits, strict=True)})
+            weighed = self.weigh([todo[k][2][a:b] for k, a, b in tried])
+            by_run: dict[int, list[tuple[float, int, int, str]]] = {}
+            for (k, a, b), (kind, more) in zip(tried, weighed, strict=True):
+                if kind:
+                    by_run.setdefault(k, []).append((-more, a, b, kind))
+            rest = []
+            for k, own in by_run.items():
+                i, offset, r = todo[k]
+                taken: list[tuple[int, int]] = []
+                for _, a, b, kind in sorted(own):
+                    if all(b <= x or a >= y for x, y in taken):
+                        taken.append((a, b))
+                        out[i].append((kind, offset + a, offset + b))
+                at = 0
+                for x, y in [*sorted(taken), (len(r), len(r))]:
+                    if x - at >= SHORTEST:
+                        rest.append((i, offset + at, r[at:x]))
+                    at = y
+            todo = rest
+        return out
 
 
 @lru_cache(maxsize=1)
@@ -267,7 +365,7 @@ def scan(texts: list[str], automata: Automata) -> list[list[tuple[str, int, int]
                 b -= 1
             if b - a >= SHORTEST:
                 tried.append((a, b))
-        more = [(a, b, kind) for (a, b), kind in zip(tried, automata.judge([raw[a:b] for a, b in tried]), strict=True) if kind]
+        more = [(a + x, a + y, kind) for (a, b), own_spans in zip(tried, automata.find([raw[a:b] for a, b in tried]), strict=True) for kind, x, y in own_spans]
         places += [(int(np.searchsorted(begin, a, "right")) - 1, kind, a, b) for a, b, kind in more]
         by_text: dict[int, list[tuple[str, int, int]]] = {}
         for i, kind, a, b in places:

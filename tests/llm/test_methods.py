@@ -290,6 +290,24 @@ def test_inferred_formats_on_held_out_examples():
         assert judged[None if kind == "plain" else kind] / sum(judged.values()) > 0.95
 
 
+def test_secrets_joined_to_other_characters():
+    automata = secrets.learnt()
+    kinds = [k for k in automata.kinds if k != "plain"]
+    joined = ["{}", "GITHUB_PAT={}", "STRIPE={}", "https://host.example/path/to/{}", "x/{}", "see/{}/repo.git", "https://a.example/{}.html"]
+    wanted = total = 0
+    for kind, examples in secrets.labelled(40, seed=78).items():
+        if kind in kinds:
+            for x in examples:
+                texts = [f"{j.format(x)} end" for j in joined]
+                for t, found in zip(texts, secrets.scan(texts, automata), strict=True):
+                    total += 1
+                    wanted += any(a <= t.index(x) and b >= t.index(x) + len(x.rstrip("-_")) for _, a, b in found)
+    assert wanted / total > 0.98
+    one, two = (secrets.labelled(2, seed=79)["github"][k] for k in range(2))
+    text = f"A={one}/B={two} ok"
+    assert secrets.cut(text, secrets.scan([text], automata)[0]) == "A=[SECRET]/B=[SECRET] ok"
+
+
 def test_merging_finds_a_loop():
     examples = ["x" + "ab"[i % 2] * (i % 9 + 1) + "1" for i in range(400)]
 
