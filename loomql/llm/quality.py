@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from . import common
 
 WINDOW = 8
+#: Distinct words are counted in blocks of so many, so that their share doesn't fall with the length of a text.
+BLOCK = 2000
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 #: Rows added to every count of votes in the estimates, so that no rule is ever certain.
@@ -64,10 +66,11 @@ def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     w, wh, li = F.col(f"{q}.words"), F.col(f"{q}.wh"), F.col(f"{q}.lines")
     n = F.size(w)
     hashes = F.when(n >= WINDOW, F.transform(F.sequence(F.lit(0), F.greatest(n - WINDOW, F.lit(0))), lambda i: F.xxhash64(*(wh[i + k] for k in range(WINDOW))))).otherwise(F.array().cast("array<bigint>"))
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(BLOCK)), lambda i: F.size(F.array_distinct(F.slice(wh, i + 1, BLOCK))).cast("bigint"))
     second = first.withColumn(
         q,
         F.struct(
-            n.cast("bigint").alias("n_words"), F.size(F.array_distinct(wh)).cast("bigint").alias("n_distinct"),
+            n.cast("bigint").alias("n_words"), F.aggregate(blocks, F.lit(0).cast("bigint"), lambda acc, x: acc + x).alias("n_distinct"),
             F.size(li).cast("bigint").alias("n_lines"), (F.size(li) - F.size(F.array_distinct(li))).cast("bigint").alias("n_dup_lines"), hashes.alias("hashes"),
             F.char_length(text).cast("bigint").alias("n_chars"), without(common.BLANK).cast("bigint").alias("word_chars"),
             (F.char_length(text) - without(r"[#*$%&|<>]")).cast("bigint").alias("n_symbols"), (F.char_length(text) - without(r"[!?]")).cast("bigint").alias("n_shouts"),
@@ -93,8 +96,7 @@ def _rules(q: str) -> dict[str, Column]:
         "capitals": _vote(c("n_upper") * 10 > c("n_letters") * 4, c("n_upper") * 10 <= c("n_letters") * 2),
         "repeats": _vote(c("n_repeat_words") * 100 > n * MAX_REPEAT_PERCENT, c("n_repeat_words") * 100 <= n * 25),
         "lines": _vote((c("n_dup_lines") * 10 > c("n_lines") * 3) & (c("n_lines") >= 5), c("n_dup_lines") * 4 <= c("n_lines")),
-        # Few distinct words tell of junk only in texts short enough that a vocabulary is not yet used up.
-        "variety": _vote((c("n_distinct") * 5 < n) & (c("n_words") <= 2000), c("n_distinct") * 5 >= n * 2),
+        "variety": _vote(c("n_distinct") * 5 < n, c("n_distinct") * 5 >= n * 2),
         "letters": _vote(c("n_letters") * 10 < chars * 7, c("n_letters") * 100 >= chars * 85),
         "word_size": _vote((chars < n * 2) | (chars > n * 15), (chars >= n * 3) & (chars <= n * 10)),
     }

@@ -356,6 +356,17 @@ def test_op6_is_native_and_whole(spark):
 # Quality
 
 
+def test_long_texts_of_short_word_runs_are_junk(spark):
+    draw = random.Random(4)
+    words = ["".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=draw.randint(3, 9))) for _ in range(6000)]
+    runs = lambda n: " ".join(w for w in draw.choices(words, k=n // 6) for _ in range(draw.randint(5, 7)))
+    short = [(-10 - k, runs(60)) for k in range(12)]  # enough of the kind for its class to be learnt
+    extra = [*short, (-1, runs(60)), (-2, runs(2600)), (-3, runs(18000)), (-4, " ".join(draw.choices(words, k=15000)))]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame(extra, "doc_id bigint, text string"))
+    found = {r.doc_id: (r.votes[quality.RULES.index("variety")], r.kept) for r in quality.score(docs).where("doc_id between -9 and -1").collect()}
+    assert found == {-1: (-1, False), -2: (-1, False), -3: (-1, False), -4: (1, True)}
+
+
 def test_op7_counts_and_verdicts(spark, texts):
     frame = queries.op7_quality_votes(spark, SF)
     assert not re.search("Python|Pandas|Arrow", frame._jdf.queryExecution().executedPlan().toString())
