@@ -14,21 +14,35 @@ from pyspark.sql import functions as F
 BLANK = r"[\x20\x09-\x0D]+"
 
 _own_dir: str | None = None
+#: Every folder that ``shared_dir`` has given out: a caller can free those of steps that are over.
+made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under the one the cluster names in ``spark.checkpoint.dir``.
 
-    Where that is unset (tests on one machine), a temporary folder of this process, removed when it ends.
+    Where that is unset, a temporary folder of this process, removed when it ends; that serves only where the driver and
+    all tasks are one process, so anywhere else it is an error.
     """
     global _own_dir
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if _own_dir is None:
             _own_dir = tempfile.mkdtemp(prefix="loomql-")
             atexit.register(shutil.rmtree, _own_dir, ignore_errors=True)
         base = _own_dir
-    return f"{base.rstrip('/')}/loomql/{uuid.uuid4().hex}"
+    made.append(path := f"{base.rstrip('/')}/loomql/{uuid.uuid4().hex}")
+    return path
+
+
+def free(spark: SparkSession, *paths: str) -> None:
+    """Deletes staged tables. What was made of them must be written by now."""
+    for p in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def staged(df: DataFrame, path: str) -> DataFrame:

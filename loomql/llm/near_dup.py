@@ -1,22 +1,25 @@
 """N-gram Jaccard join: size-banded tiles, hashed bitmap signatures, exact intersection of sorted arrays.
 
 A document is the set of 64-bit hashes of its distinct word shingles, kept as one sorted array; documents with equal
-arrays are one class from the start. At a threshold t a partner shares at least the fraction t of a set, which gives
-three exact cuts on what must be compared:
-
-1. Screening. Of the smallest ``1 - t + SLACK`` of a set's hashes at least the fraction ``SLACK`` is shared with another
-   class, or the set has no partner. Hashes go to buckets as packed arrays; within a task a hash that more than two
-   classes have is counted there and sent on only twice, so that a frequent shingle is no large group.
-2. Candidates. The same hashes of the sets that passed are counted per pair: a linked pair shares at least as many.
-3. Tiles. A tile has the sets of two blocks and the pairs between them that lie in one size band. Bitmaps of hashed
-   shingles bound each overlap from above by their differing bits; what remains is intersected exactly.
-
-Candidates of a hash are first compared with the hash's smallest class only. That joins nearly all copies, however many
-there are, without making pairs inside a group. What is left are
-classes that share hashes and aren't yet in one component. Pairs of them are made at hashes that few sets have; sets that
-are mostly made of common hashes are counted against whole components before pairs among them are made. So no link
-between different components is missed. Known limit: that counting matches, at each common hash, every such set with every
-other component there, which grows with the square of the number of such sets.
+arrays are one class from the start. Each class that may have a partner gets a bitmap of its hashes, made and stored once.
+
+1. Screening. At a threshold t a partner shares at least the fraction t of a set. Of the smallest ``1 - t + SLACK`` of its
+   hashes at least the fraction ``SLACK`` is then shared with another class, or the set has no partner. Hashes go to
+   buckets as packed arrays; a hash that more than two classes have within a task is sent on only twice.
+2. Marks. The hashes of the classes left are put in order of how many of these classes have them, and each class is marked
+   by the first ``1 - t`` of its own, plus one: linked classes have a mark in common. Hashes of one class alone come first,
+   so that most classes have no mark left that another one has. A passage that thousands of documents share comes last: it
+   marks only classes of which it is nearly all.
+3. Stars. Each mark's smallest class is compared with the others that have it. That joins nearly all copies, however
+   many, without pairs inside a group. Marks whose classes are now all in one component are done.
+4. Tiles. What is left is compared in tiles. The classes of a mark that at most ``RARE`` classes have are a tile. Other
+   marks are put together where a class has several, so that two classes meet once; such a cluster is cut into bands of
+   set size, a band into blocks of about ``TILE`` classes, and a tile has two blocks of one band or of neighbouring bands.
+   In a tile the differing bits of two bitmaps bound the overlap from above, for pairs of fitting sizes from different
+   components. What remains is intersected exactly.
+
+Work on a cluster's tiles grows with the square of the number of its classes that share nearly everything and still don't
+fit into one component; it is bit counts only, spread over tiles of a fixed size.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from . import common
 from .ppm import chunks
@@ -37,14 +41,14 @@ WORDS = 5
 PERCENT = 75
 #: Part of a set, in percent, that screening sees beyond the part that a partner may lack.
 SLACK = 8
-#: Hashes of a set that candidates are counted on, beyond those that screening looks at: short sets are counted whole.
-EXTRA = 48
-#: A hash that more sets have among their counted ones is common: it is not a place where pairs are made.
-COMMON = 32
+#: A mark that more classes have goes to the blocks of a cluster instead of a tile of its own.
+RARE = 32
+#: Bits of a bitmap: eight for each hash, within these powers of two.
+LEAST_BITS, MOST_BITS = 6, 12
 #: Bytes of text that one set of numpy arrays is made of, and rows handled at once: they bound a worker's memory.
 CHUNK, SLICE = 1 << 18, 512
-#: Hashes in one bucket, sets in one block, and pairs in one group of tiles: sizes of tasks, not limits.
-BUCKET, TILE, GROUP = 1 << 20, 512, 512
+#: Hashes in one bucket, classes in one block, and rows of tiles in one task's group: sizes of tasks, not limits.
+BUCKET, TILE, GROUP = 1 << 20, 2048, 8192
 
 _BASE = 0x9E3779B97F4A7C15
 _powers = np.ones(1, np.uint64)
@@ -108,10 +112,10 @@ def _digest(own: np.ndarray) -> int:
     return int.from_bytes(blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def _screened(n: int, percent: int, extra: int = 0) -> tuple[int, int]:
+def _screened(n: int, percent: int) -> tuple[int, int]:
     """(hashes of a set that screening looks at, how many of them must be shared)."""
     spare = n - -(-n * percent // 100)
-    look = min(n, spare + 1 + n * SLACK // 100 + extra)
+    look = min(n, spare + 1 + n * SLACK // 100)
     return look, look - spare
 
 
@@ -120,33 +124,64 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return both > 0 and 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _least_overlap(n: int, m: int, percent: int) -> int:
+def least_overlap(n: np.ndarray | int, m: np.ndarray | int, percent: int):
     """The smallest intersection of linked sets of these sizes."""
     return -(-percent * (n + m) // (100 + percent))
 
 
-def signature(own: np.ndarray, bits: int) -> np.ndarray:
-    """A bitmap of ``2 ** bits`` bits with one set for each hash's top bits."""
+def signature(own: np.ndarray) -> np.ndarray:
+    """A bitmap, in 64-bit words, with one bit set for the low bits of each hash."""
+    bits = min(MOST_BITS, max(LEAST_BITS, (8 * len(own) - 1).bit_length()))
     marks = np.zeros(1 << bits, np.uint8)
-    marks[(own >> np.uint64(64 - bits)).astype(np.int64)] = 1
-    return np.packbits(marks)
-
-
-def compare(pivot: np.ndarray, members: list[np.ndarray], percent: int = PERCENT) -> list[bool]:
-    """Which members are linked with the pivot. Each differing bit stands for an element that only one of the two has, so
-    the overlap is at most half of both sizes less the differing bits."""
-    bits = max(6, int(2 * len(pivot)).bit_length())
-    mine = signature(pivot, bits)
-    out = []
-    for m in members:
-        small, large = sorted((len(pivot), len(m)))
-        if 100 * small < percent * large:
-            out.append(False)
-            continue
-        apart = int(np.bitwise_count(mine ^ signature(m, bits)).sum())
-        most = (len(pivot) + len(m) - apart) // 2
-        out.append(most >= _least_overlap(len(pivot), len(m), percent) and linked(pivot, m, percent))
-    return out
+    marks[(own & np.uint64((1 << bits) - 1)).astype(np.int64)] = 1
+    return np.packbits(marks).view(np.uint64)
+
+
+def folded(bitmaps: np.ndarray) -> np.ndarray:
+    """Bitmaps (one a row) of half the size: those of the same hashes by one low bit less."""
+    half = bitmaps.shape[-1] // 2
+    return bitmaps[..., :half] | bitmaps[..., half:]
+
+
+def may_link(first: np.ndarray, second: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Which rows of two equally wide tables of bitmaps may be linked. Each differing bit stands for an element that only
+    one of the two sets has, so the overlap is at most half of what both sizes leave beside the differing bits."""
+    apart = np.bitwise_count(first ^ second).sum(axis=-1, dtype=np.int64)
+    return (n + m - apart) // 2 >= least_overlap(n, m, percent)
+
+
+def tile_pairs(tile: np.ndarray, side: np.ndarray, n: np.ndarray, root: np.ndarray, bitmaps: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the pairs within each tile that may be linked: of fitting sizes, of different components, and with
+    bitmaps that leave room for the overlap. Rows of side 0 are compared with all, those of side 1 with side 2 only."""
+    order = np.lexsort((n, tile))
+    tile, side, n, root = tile[order], side[order], n[order], root[order]
+    width = np.array([len(bitmaps[i]) for i in order], np.int64)
+    # One table of bitmaps for each width, and one of the bitmaps of twice the width, folded.
+    place, tables = np.zeros(len(order), np.int64), {}
+    for w in np.unique(width).tolist():
+        rows = np.flatnonzero(width == w)
+        place[rows] = np.arange(len(rows))
+        tables[w] = np.stack([bitmaps[order[i]] for i in rows])
+    halves = {w // 2: folded(t) for w, t in tables.items() if w > 1}
+    left: list[np.ndarray] = []
+    right: list[np.ndarray] = []
+    for d in range(1, len(order)):
+        i = np.flatnonzero((tile[d:] == tile[:-d]) & (100 * n[:-d] >= percent * n[d:]))
+        if not len(i):  # sizes go up within a tile, so none further apart fits either
+            break
+        j = i + d
+        keep = (root[i] != root[j]) & ((side[i] == 0) | (side[i] + side[j] == 3))
+        i, j = i[keep], j[keep]
+        for w in np.unique(width[i]).tolist():
+            for twice in (False, True):
+                own = (width[i] == w) & (width[j] == w * (2 if twice else 1))
+                if own.any():
+                    a, b = i[own], j[own]
+                    fits = may_link(tables[w][place[a]], (halves if twice else tables)[w][place[b]], n[a], n[b], percent)
+                    left.append(order[a[fits]])
+                    right.append(order[b[fits]])
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *left]), np.concatenate([none, *right])
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
@@ -217,39 +252,31 @@ def _shared_counts(low: DataFrame, buckets: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The linked ones of pairs (pivot, member) of classes; ``sets`` has class and own (the packed array).
+    """The linked ones of the pairs (a, b) of classes: bitmaps first, then the arrays of those that are left."""
+    of = lambda c, what: sets.select(F.col("class").alias(c), F.col("n").alias(f"n_{c}"), F.col(what).alias(f"{what}_{c}"))
 
-    Classes lie in blocks by their smallest hash, which near copies tend to share, and large blocks are split; a tile has
-    the pairs of two blocks, and each array of them once.
-    """
-    groups = max(1, -(-pairs.count() // GROUP))
-    lowest = sets.select("class", F.substring("own", 1, 8).alias("low"))
-    parts = lowest.groupBy("low").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("parts"))
-    blocks = lowest.join(parts, "low").select("class", F.xxhash64("low", F.pmod(F.xxhash64("class"), F.col("parts"))).alias("block"))
-    of_pivot, of_member = (blocks.select(F.col("class").alias(c), F.col("block").alias(f"{c}_block")) for c in ("pivot", "member"))
-    tiled = pairs.join(of_pivot, "pivot").join(of_member, "member")
-    asked = tiled.select("pivot_block", "member_block", F.col("pivot").alias("a"), F.col("member").alias("b"), F.lit(None).cast("binary").alias("own"))
-    needed = tiled.select("pivot_block", "member_block", F.explode(F.array("pivot", "member")).alias("class")).distinct()
-    arrays = needed.join(sets.select("class", "own"), "class").select("pivot_block", "member_block", F.col("class").alias("a"), F.lit(None).cast("bigint").alias("b"), "own")
-    rows = asked.unionByName(arrays).withColumn("tiles", F.pmod(F.xxhash64("pivot_block", "member_block"), F.lit(groups)))
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _sliced(batches, 8 * SLICE):
+            a, b, n, x, m, y = (c.to_pylist() for c in batch.columns)
+            keep = []
+            for k in range(len(a)):
+                one, other = np.frombuffer(x[k], np.uint64), np.frombuffer(y[k], np.uint64)
+                while len(one) != len(other):
+                    one, other = (folded(one), other) if len(one) > len(other) else (one, folded(other))
+                if may_link(one, other, n[k], m[k], percent):
+                    keep.append(k)
+            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _sliced(batches, SLICE):
+            one, other = batch.column(3).to_pylist(), batch.column(5).to_pylist()
+            keep = [k for k, (x, y) in enumerate(zip(one, other, strict=True)) if linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent)]
+            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
-    def run(group: pa.Table) -> pa.Table:
-        a, b, own = (group.column(c).to_pylist() for c in ("a", "b", "own"))
-        array_of = {x: np.frombuffer(o, np.uint64) for x, o in zip(a, own, strict=True) if o is not None}
-        wanted: dict[int, set[int]] = {}
-        for x, y in zip(a, b, strict=True):
-            if y is not None:
-                wanted.setdefault(x, set()).add(y)
-        left, right = [], []
-        for x, members in wanted.items():
-            others = sorted(members, key=lambda m: (len(array_of[m]), m))
-            for y, yes in zip(others, compare(array_of[x], [array_of[m] for m in others], percent), strict=True):
-                if yes:
-                    left.append(x)
-                    right.append(y)
-        return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
-
-    return rows.groupBy("tiles").applyInArrow(run, "a bigint, b bigint")
+    kinds = "a bigint, b bigint"
+    joined = lambda p, what: p.join(of("a", what), "a").join(of("b", what), "b").select("a", "b", "n_a", f"{what}_a", "n_b", f"{what}_b")
+    left = joined(pairs.select("a", "b"), "bits").mapInArrow(bounded, kinds)
+    return joined(left, "own").mapInArrow(exact, kinds)
 
 
 def components(links: DataFrame, path: str) -> DataFrame:
@@ -276,35 +303,79 @@ def components(links: DataFrame, path: str) -> DataFrame:
 
 
 def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """h, class, n, root for every hash of rows (class, own, n, root)."""
+    """h, class, n for every hash of rows (class, n, own)."""
     for batch in _sliced(batches, SLICE):
-        own = [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
+        own = [np.frombuffer(x, np.uint64) for x in batch.column(2).to_pylist()]
         if own:
             size = [len(s) for s in own]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64)), *(pa.array(np.repeat(batch.column(i).to_numpy(zero_copy_only=False), size), pa.int64()) for i in (0, 2, 3))], names=["h", "class", "n", "root"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64)), *(pa.array(np.repeat(batch.column(i).to_numpy(zero_copy_only=False), size), pa.int64()) for i in (0, 1))], names=["h", "class", "n"])
+
+
+def _in_band(percent: int):
+    return F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m)")
+
+
+def marks(sets: DataFrame, percent: int, path: str) -> DataFrame:
+    """h, c, class, n: the first hashes of each class, by how many classes have them (c, two at least)."""
+    rows = sets.select("class", "n", "own").mapInArrow(_exploded, "h bigint, class bigint, n bigint")
+    often = common.staged(rows.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), f"{path}/often")
+    shared = rows.join(often, "h").groupBy("class").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("c", "h"))).alias("own"))
+    first = f"cast(n - (n * {percent} + 99) div 100 + 1 - (n - size(own)) as int)"  # hashes of one class alone come before
+    first = shared.withColumn("first", F.expr(first)).where("first > 0").select("class", "n", F.explode(F.slice("own", F.lit(1), F.col("first"))).alias("x"))
+    return first.select("x.h", "x.c", "class", "n")
+
+
+def _blocks(hot: DataFrame, percent: int, path: str) -> DataFrame:
+    """tile, side, class, n, root: the classes of common marks (h, class, n, root) in all tiles of their clusters."""
+    least = hot.groupBy("h").agg(F.min("class").alias("pivot"))
+    clusters = components(hot.join(least, "h").select(F.col("class").alias("a"), F.col("pivot").alias("b")).distinct(), f"{path}/clusters")
+    band = F.floor(F.log(F.col("n")) / (float(np.log(100 / percent)) * (1 + 1e-9)))
+    items = hot.select("class", "n", "root").distinct().join(clusters.withColumnRenamed("root", "cluster"), "class").withColumn("band", band)
+    items = common.staged(items, f"{path}/items")
+    parts = common.staged(items.groupBy("cluster", "band").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("parts")), f"{path}/parts")
+    items = items.join(parts, ["cluster", "band"]).withColumn("i", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int")).drop("parts")
+    numbers = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j")
+    out = None
+    for step in (0, 1, -1):  # the band itself, as the lower one of two, as the upper one
+        others = parts.select("cluster", (F.col("band") - step).alias("band"), "parts")
+        met = items.join(others, ["cluster", "band"]).select("cluster", "band", "class", "n", "root", "i", numbers)
+        low, high = (F.least("i", "j"), F.greatest("i", "j")) if step == 0 else (F.col("i"), F.col("j")) if step == 1 else (F.col("j"), F.col("i"))
+        side = F.when(F.col("i") == F.col("j"), 0).when(F.col("i") < F.col("j"), 1).otherwise(2) if step == 0 else F.lit(1 if step == 1 else 2)
+        tile = F.xxhash64("cluster", F.col("band") + min(step, 0), F.lit(abs(step)), low, high)
+        met = met.select(tile.alias("tile"), side.cast("int").alias("side"), "class", "n", "root")
+        out = met if out is None else out.unionByName(met)
+    return out
 
 
-def _mixed(rows: DataFrame) -> DataFrame:
-    """The rows of hashes that classes of more than one component have."""
-    return rows.join(rows.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("h"), "h", "left_semi")
+def _candidates(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes that may be linked, from the tiles of rows (tile, side, class, n, root)."""
+    groups = max(1, -(-rows.count() // GROUP))
+    rows = rows.join(sets.select("class", "bits"), "class").withColumn("tiles", F.pmod(F.xxhash64("tile"), F.lit(groups)))
 
+    def run(group: pa.Table) -> pa.Table:
+        tile, side, own, n, root = (group.column(c).to_numpy() for c in ("tile", "side", "class", "n", "root"))
+        i, j = tile_pairs(tile, side, n, root, [np.frombuffer(x, np.uint64) for x in group.column("bits").to_pylist()], percent)
+        pairs = np.unique(np.stack([np.minimum(own[i], own[j]), np.maximum(own[i], own[j])]), axis=1)
+        return pa.table({"a": pa.array(pairs[0]), "b": pa.array(pairs[1])})
 
-def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One row per row of ``docs``: id_col, n_shingles, component_id (the smallest id that links reach; its own included).
+    return rows.groupBy("tiles").applyInArrow(run, "a bigint, b bigint").distinct()
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(id, n, class of every row; class, component_id, first_class of every class that isn't empty).
 
-    A null text and one without words have no shingles and no links: their component is their own id. Repeated rows are
-    linked with each other. A null id is never smallest; where a component has no other, it is null. An empty table gives
-    no rows. Other columns are not looked at.
+    ``first_class`` is the smallest class that has the component's smallest id. Only what is returned stays on disk.
     """
     spark = docs.sparkSession
-    path = common.shared_dir(spark)
+    path, kept = common.shared_dir(spark), common.shared_dir(spark)
     made = common.staged(sketches(docs, id_col, text_col, words, percent), f"{path}/sketches")
-    classes = common.staged(made.where("n > 0").groupBy("class").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.max("look").alias("look"), F.min("low").alias("low")).drop("low"), f"{path}/classes")
-
+    ids = common.staged(made.select("id", "n", "class"), f"{kept}/ids")
+    classes = common.staged(made.where("n > 0").groupBy("class").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.max("look").alias("look")), f"{kept}/classes")
     total = made.agg(F.coalesce(F.sum("look"), F.lit(0))).first()[0]
     shared = _shared_counts(made.where("n > 0").select("class", "low"), max(16, -(-total // BUCKET)))
-    spare = F.col("n") - F.ceil(F.col("n") * percent / 100)
+    spare = F.expr(f"n - (n * {percent} + 99) div 100")
     passing = common.staged(classes.join(shared, "class").where(F.col("shared") >= F.col("look") - spare).select("class", "id", "n"), f"{path}/passing")
+    common.free(spark, f"{path}/sketches")
 
     few = common.may_hold(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", passing.select("id"), passing.count())
     few = few.where(few.columns[-1]).select("id", "text")
@@ -313,92 +384,80 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _sliced(batches, SLICE):
             sets = shingle_sets(batch.column(1).to_pylist(), words)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_digest(s) if len(s) else 0 for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "class", "own"])
-
-    sets = few.mapInArrow(whole, f"id {kind}, class bigint, own binary").alias("s").join(passing.alias("p"), (F.col("s.class") == F.col("p.class")) & F.col("s.id").eqNullSafe(F.col("p.id")))
-    sets = common.staged(sets.select("p.class", "p.n", "s.own").dropDuplicates(["class"]), f"{path}/sets")
-
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _sliced(batches, SLICE):
-            own = [np.frombuffer(x, np.uint64) for x in batch.column(2).to_pylist()]
-            look = np.array([_screened(len(s), percent, EXTRA)[0] for s in own], np.int64)
-            if len(own):
-                h = np.concatenate([s[:k] for s, k in zip(own, look, strict=True)])
-                repeat = lambda i: np.repeat(batch.column(i).to_numpy(zero_copy_only=False), look)  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(repeat(0), pa.int64()), pa.array(repeat(1), pa.int64())], names=["h", "class", "n"])
-
-    keys = common.staged(sets.select("class", "n", "own").mapInArrow(first, "h bigint, class bigint, n bigint"), f"{path}/keys")
-    in_band = F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m)")
-
-    def enough(n: str, least_overlap: str):
-        """Of the hashes that ``first`` gives of a set, a partner has all but those that it may lack."""
-        look = f"least({n}, {n} - cast(ceil({n} * {percent} / 100) as bigint) + 1 + {n} * {SLACK} div 100 + {EXTRA})"
-        return F.expr(f"c >= {look} - {n} + {least_overlap}")
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([_digest(s) if len(s) else 0 for s in sets], pa.int64()), pa.array([signature(s).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                names=["id", "class", "bits", "own"],
+            )
 
-    alone, together = f"cast(ceil(n * {percent} / 100) as bigint)", f"cast(ceil({percent} * (n + m) / {100 + percent}) as bigint)"
+    sets = few.mapInArrow(whole, f"id {kind}, class bigint, bits binary, own binary").alias("s").join(passing.alias("p"), (F.col("s.class") == F.col("p.class")) & F.col("s.id").eqNullSafe(F.col("p.id")))
+    sets = common.staged(sets.select("p.class", "p.n", "s.bits", "s.own").dropDuplicates(["class"]), f"{path}/sets")
 
-    groups = keys.groupBy("h").agg(F.min(F.struct("class", "n")).alias("p"), F.count(F.lit(1)).alias("size")).where("size > 1").select("h", F.col("p.class").alias("pivot"), F.col("p.n").alias("m"))
-    near = keys.join(groups, "h").where(F.col("class") != F.col("pivot")).where(in_band)
-    near = near.groupBy("pivot", F.col("class").alias("member")).agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n"), F.max("m").alias("m")).where(enough("n", together) | enough("m", together))
-    pairs = common.staged(near.select("pivot", "member"), f"{path}/pairs")
-    links = common.staged(_verified(pairs, sets, percent), f"{path}/first_links")
+    marked = common.staged(marks(sets, percent, path), f"{path}/marks")
+    pivots = marked.groupBy("h").agg(F.min(F.struct("class", "n")).alias("p")).select("h", F.col("p.class").alias("pivot"), F.col("p.n").alias("m"))
+    stars = marked.join(pivots, "h").where(F.col("class") != F.col("pivot")).where(_in_band(percent)).select(F.col("pivot").alias("a"), F.col("class").alias("b")).distinct()
+    links = common.staged(_verified(common.staged(stars, f"{path}/stars"), sets, percent), f"{path}/first_links")
 
     roots = components(links, f"{path}/first")
-    common_hashes = groups.where(F.col("size") > COMMON).select("h")
-    rare = keys.join(common_hashes, "h", "left_anti")
-    # A set is ordinary if its counted hashes that aren't common are more than a partner may lack. Of the others, which
-    # are made of common hashes for the most part, all hashes are taken.
-    have = rare.groupBy("class").agg(F.count(F.lit(1)).alias("have"))
-    have = common.staged(passing.select("class", "n").join(have, "class", "left").join(roots, "class", "left").select("class", "n", F.coalesce("have", F.lit(0)).alias("have"), F.coalesce("root", "class").alias("root")), f"{path}/have")
-    ordinary = F.col("have") > F.expr(f"n - {alone}")
-    whole_sets = sets.select("class", "own").join(have.where(~ordinary).select("class", "n", "root"), "class").mapInArrow(_exploded, "h bigint, class bigint, n bigint, root bigint")
-    whole_sets = common.staged(whole_sets, f"{path}/whole")
-
-    # Pairs with an ordinary set: they share as many hashes that aren't common as that set has beyond what may be lacking.
-    few_of = rare.drop("n").join(have.where(ordinary), "class").select("h", "class", "n", "root", (F.col("have") - F.col("n")).alias("need"), F.lit(False).alias("bulk"))
-    few_of = few_of.unionByName(whole_sets.join(common_hashes, "h", "left_anti").withColumn("need", F.lit(1 << 40)).withColumn("bulk", F.lit(True)))
-    few_of = common.staged(few_of, f"{path}/rare")  # as a table: Spark 4.1 misplans a union of equal partitionings here
-    few_of = common.staged(_mixed(few_of), f"{path}/mixed")
-    a, b = few_of.alias("a"), few_of.select("h", *(F.col(c).alias(f"b_{c}") for c in ("class", "n", "root", "need", "bulk"))).alias("b")
-    across = a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("class") < F.col("b_class")) & (F.col("root") != F.col("b_root")) & ~(F.col("bulk") & F.col("b_bulk")))
-    across = across.withColumnRenamed("b_n", "m").where(in_band).groupBy(F.col("class").alias("pivot"), F.col("b_class").alias("member")).agg(F.count(F.lit(1)).alias("c"), *(F.max(x).alias(x) for x in ("n", "m", "need", "b_need")))
-    # The set whose counted hashes end first shows all that the two share, so one of the two has as many as it needs.
-    across = common.staged(across.where(F.expr(f"c >= least(need, b_need) + {together}")).select("pivot", "member"), f"{path}/across")
-
-    # Pairs of two sets of common hashes: each class is counted against whole components first, and pairs are made only of
-    # classes that have enough hashes in each other's component.
-    rest = common.staged(_mixed(whole_sets), f"{path}/rest")
-    others = rest.select("h", F.col("root").alias("other")).distinct()
-    seen = rest.join(others, "h").where("root <> other").groupBy("class", "other").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n"), F.max("root").alias("root"))
-    asked = common.staged(seen.where(F.expr(f"c >= {alone}")).select("class", "n", "root", "other"), f"{path}/asked")
-    b = asked.select(F.col("class").alias("member"), F.col("n").alias("m"), F.col("root").alias("b_root"), F.col("other").alias("b_other"))
-    among = asked.join(b, (F.col("other") == F.col("b_root")) & (F.col("root") == F.col("b_other")) & (F.col("class") < F.col("member"))).where(in_band)
-    among = common.staged(among.select(F.col("class").alias("pivot"), "member").distinct(), f"{path}/among")
-
-    more = common.staged(across.unionByName(among).distinct().join(pairs, ["pivot", "member"], "left_anti"), f"{path}/more_pairs")
-    links = links.unionByName(_verified(more, sets, percent))
+    placed = common.staged(marked.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class")), f"{path}/placed")
+    mixed = placed.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("h")
+    mixed = common.staged(placed.join(mixed, "h", "left_semi"), f"{path}/mixed")
+    tiles = mixed.where(F.col("c") <= RARE).select(F.col("h").alias("tile"), F.lit(0).alias("side"), "class", "n", "root")
+    tiles = common.staged(tiles.unionByName(_blocks(mixed.where(F.col("c") > RARE), percent, path)), f"{path}/tiles")
+    asked = common.staged(_candidates(tiles, sets, percent).join(stars, ["a", "b"], "left_anti"), f"{path}/asked")
+    links = links.unionByName(common.staged(_verified(asked, sets, percent), f"{path}/links"))
 
     roots = components(links, f"{path}/all")
     placed = classes.select("class", "id").join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
-    smallest = placed.groupBy("root").agg(F.min("id").alias("component_id"))
-    of_class = placed.join(smallest, "root").select("class", "component_id")
-    out = made.select("id", "n", "class").join(of_class, "class", "left")
+    # Nulls are smallest in a struct, so whether an id is null goes first.
+    smallest = placed.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "class")).alias("s"))
+    out = placed.join(smallest, "root").select("class", F.col("s.id").alias("component_id"), F.col("s.class").alias("first_class"))
+    out = common.staged(out, f"{kept}/components")
+    common.free(spark, path, f"{kept}/classes")
+    return ids, out
+
+
+def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """One row per row of ``docs``: id_col, n_shingles, component_id (the smallest id that links reach; its own included).
+
+    A null text and one without words have no shingles and no links: their component is their own id. Very long texts are
+    sets like others. Ties don't matter: a component has one smallest id. Repeated rows are linked with each other. A null
+    id is never smallest; where a component has no other, it is null. An empty table gives no rows. Other columns are not
+    looked at.
+    """
+    ids, found = _classes(docs, id_col, text_col, words, percent)
+    out = ids.join(found, "class", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs``, with their own columns, whose id is the smallest of its component; one row of each such id.
+    """One row of each component, with the columns of ``docs``: of its rows with the smallest id (a null id only where there
+    is no other), one of the class with the smallest digest. Rows without words are no copies of another: all stay.
 
-    Rows with a null id are kept. Only rows whose id may be in question are shuffled.
+    Where several rows have that id and that class, any one of them is kept. Rows that share an id but no component are
+    each judged by their own text. Only rows whose id may be in question are shuffled. An empty table stays empty.
     """
-    found = jaccard_components(docs, id_col=id_col, text_col=text_col, words=words, percent=percent)
-    found = common.staged(found.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), "component_id"), f"{common.shared_dir(docs.sparkSession)}/found")
-    gone = found.where("id <> component_id").select("id").distinct()
-    again = found.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id")
-    asked = gone.unionByName(again)
-    rows = common.may_hold(docs, id_col, asked, asked.count())
-    mark = rows.columns[-1]
-    name = f"`{id_col}`"
-    sure = rows.where(~F.col(mark) | F.col(name).isNull()).drop(mark)
-    doubtful = rows.where(F.col(mark) & F.col(name).isNotNull()).drop(mark)
-    return sure.unionByName(doubtful.join(gone, F.col(name) == gone["id"], "left_anti").dropDuplicates([id_col])).select(*(F.col(f"`{c}`") for c in docs.columns))
+    spark = docs.sparkSession
+    ids, found = _classes(docs, id_col, text_col, words, percent)
+    path = common.shared_dir(spark)
+    rows = ids.where("n > 0").groupBy("id", "class").agg(F.count(F.lit(1)).alias("copies")).join(found, "class")
+    stays = (F.col("class") == F.col("first_class")) & F.col("id").eqNullSafe(F.col("component_id"))
+    rows = common.staged(rows.select("id", "class", "copies", stays.alias("stays")), f"{path}/found")
+    asked = rows.where("not stays or copies > 1").select("id").distinct()
+    marked = common.may_hold(docs, id_col, asked, asked.count())
+    mark, digest = marked.columns[-1], common.fresh(docs, "digest")
+    name = F.col(f"`{id_col}`")
+    sure = marked.where(~F.col(mark)).drop(mark)
+    at = docs.columns.index(text_col)
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _sliced(batches, SLICE):
+            sets = shingle_sets(batch.column(at).to_pylist(), words)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([_digest(s) if len(s) else None for s in sets], pa.int64())], names=[*batch.schema.names, digest])
+
+    doubtful = marked.where(F.col(mark)).drop(mark)
+    doubtful = doubtful.mapInArrow(digests, StructType([*doubtful.schema.fields, StructField(digest, LongType())]))
+    stay = rows.where("stays").select(F.col("id").alias("stay_id"), F.col("class").alias("stay_class"))
+    copies = doubtful.where(F.col(digest).isNotNull()).join(stay, name.eqNullSafe(F.col("stay_id")) & (F.col(digest) == F.col("stay_class")), "left_semi")
+    copies = copies.dropDuplicates([id_col, digest])
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    return sure.select(*own).unionByName(doubtful.where(F.col(digest).isNull()).select(*own)).unionByName(copies.select(*own))

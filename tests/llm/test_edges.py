@@ -68,6 +68,14 @@ def test_keep_one_edges(docs):
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "3", "4", "5", "7", "None", "None"]
 
 
+def test_keep_one_judges_rows_by_their_own_text(spark):
+    """Rows that share an id but no text, and copies whose ids are null."""
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    rows = [(1, text(1)), (2, text(1)), (2, text(2)), (None, text(3)), (None, text(3)), (5, text(3)), (None, text(4)), (None, text(4)), (6, None), (6, None)]
+    kept = near_dup.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(map(str, kept)) == sorted(str(r) for r in spark.createDataFrame([(1, text(1)), (2, text(2)), (5, text(3)), (None, text(4)), (6, None), (6, None)], "doc_id bigint, text string").collect())
+
+
 def test_drop_contaminated_keeps_columns(docs, bench):
     out = decontam.drop_contaminated(docs, bench)
     assert out.columns == docs.columns and 5 not in {r.doc_id for r in out.collect()}

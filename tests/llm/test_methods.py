@@ -429,8 +429,11 @@ def test_op8_components(spark, texts):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in queries.op8_jaccard_tiles(spark, SF).collect()} == wanted
 
 
-def test_components_with_common_lines_and_chains(spark):
+@pytest.mark.parametrize(("rare", "tile"), [(32, 2048), (2, 8)])
+def test_components_with_common_lines_and_chains(spark, monkeypatch, rare, tile):
     """Common lines in many texts, a large group of near copies, chains, and sets right at the limit."""
+    monkeypatch.setattr(near_dup, "RARE", rare)
+    monkeypatch.setattr(near_dup, "TILE", tile)
     draw = random.Random(4)
     word = lambda: "".join(draw.choices("abcdefghij", k=6))
     lines = [" ".join(word() for _ in range(9)) for _ in range(6)]
@@ -457,12 +460,29 @@ def test_components_with_common_lines_and_chains(spark):
 
 def test_bitmaps_never_rule_out_a_link():
     draw = np.random.default_rng(5)
+    pairs = []
     for _ in range(300):
-        n = int(draw.integers(1, 400))
+        n = int(draw.integers(1, 900))
         a = np.unique(draw.integers(0, 1 << 63, n).astype(np.uint64))
         b = np.unique(np.concatenate([a[draw.random(len(a)) < draw.uniform(0.6, 1)], draw.integers(0, 1 << 63, int(draw.integers(0, n // 3 + 1))).astype(np.uint64)]))
-        if len(b):
-            assert near_dup.compare(a, [b]) == [near_dup.linked(a, b)]
+        pairs += [(a, b)] if len(b) else []
+    sets = [s for p in pairs for s in p]
+    half = len(pairs)
+    tile = np.repeat(np.arange(half), 2)
+    side = np.where(tile % 2 == 0, 0, np.arange(len(sets)) % 2 + 1)  # every other tile has two sides
+    i, j = near_dup.tile_pairs(tile, side, np.array([len(s) for s in sets]), np.arange(len(sets)), [near_dup.signature(s) for s in sets], 75)
+    found = {tuple(sorted(x)) for x in zip(i.tolist(), j.tolist(), strict=True)}
+    wanted = {(2 * k, 2 * k + 1) for k, (a, b) in enumerate(pairs) if near_dup.linked(a, b)}
+    assert wanted <= found and len(wanted) > 30 and len(found - wanted) < len(pairs) // 4
+
+
+def test_bitmaps_fold():
+    own = np.random.default_rng(6).integers(0, 1 << 63, 100).astype(np.uint64)
+    wide = near_dup.signature(own)
+    narrow = near_dup.signature(own[:60])
+    marks = np.zeros(512, np.uint8)
+    marks[(own & np.uint64(511)).astype(np.int64)] = 1
+    assert len(wide) == 2 * len(narrow) and np.array_equal(near_dup.folded(wide), np.packbits(marks).view(np.uint64))
 
 
 # Personal data
