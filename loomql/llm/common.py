@@ -43,6 +43,8 @@ def free(spark: SparkSession, *paths: str) -> None:
     for p in paths:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        if p in made:
+            made.remove(p)
 
 
 def staged(df: DataFrame, path: str) -> DataFrame:

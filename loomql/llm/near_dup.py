@@ -16,7 +16,7 @@ arrays are one class from the start. Each class that may have a partner gets a b
    marks are put together where a class has several, so that two classes meet once; such a cluster is cut into bands of
    set size, a band into blocks of about ``TILE`` classes, and a tile has two blocks of one band or of neighbouring bands.
    In a tile the differing bits of two bitmaps bound the overlap from above, for pairs of fitting sizes from different
-   components. What remains is intersected exactly.
+   components. What remains is intersected exactly; in the blocks of a cluster, pairs that earlier ones have joined aren't.
 
 Work on a cluster's tiles grows with the square of the number of its classes that share nearly everything and still don't
 fit into one component; it is bit counts only, spread over tiles of a fixed size.
@@ -326,9 +326,8 @@ def marks(sets: DataFrame, percent: int, path: str) -> DataFrame:
 
 
 def _blocks(hot: DataFrame, percent: int, path: str) -> DataFrame:
-    """tile, side, class, n, root: the classes of common marks (h, class, n, root) in all tiles of their clusters."""
-    least = hot.groupBy("h").agg(F.min("class").alias("pivot"))
-    clusters = components(hot.join(least, "h").select(F.col("class").alias("a"), F.col("pivot").alias("b")).distinct(), f"{path}/clusters")
+    """tile, side, class, n, root: the classes of common marks (class, pivot, n, root) in all tiles of their clusters."""
+    clusters = components(hot.select(F.col("class").alias("a"), F.col("pivot").alias("b")).distinct(), f"{path}/clusters")
     band = F.floor(F.log(F.col("n")) / (float(np.log(100 / percent)) * (1 + 1e-9)))
     items = hot.select("class", "n", "root").distinct().join(clusters.withColumnRenamed("root", "cluster"), "class").withColumn("band", band)
     items = common.staged(items, f"{path}/items")
@@ -347,18 +346,56 @@ def _blocks(hot: DataFrame, percent: int, path: str) -> DataFrame:
     return out
 
 
+def _dealt(rows: DataFrame, sets: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows of tiles with what the sets table has of their classes, and ``tiles``, the group that a tile goes to."""
+    groups = max(1, -(-rows.count() // GROUP))
+    return rows.join(sets.select("class", *columns), "class").withColumn("tiles", F.pmod(F.xxhash64("tile"), F.lit(groups)))
+
+
+def _fitting(group: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    tile, side, own, n, root = (group.column(c).to_numpy() for c in ("tile", "side", "class", "n", "root"))
+    return *tile_pairs(tile, side, n, root, [np.frombuffer(x, np.uint64) for x in group.column("bits").to_pylist()], percent), own, root
+
+
 def _candidates(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of classes that may be linked, from the tiles of rows (tile, side, class, n, root)."""
-    groups = max(1, -(-rows.count() // GROUP))
-    rows = rows.join(sets.select("class", "bits"), "class").withColumn("tiles", F.pmod(F.xxhash64("tile"), F.lit(groups)))
 
     def run(group: pa.Table) -> pa.Table:
-        tile, side, own, n, root = (group.column(c).to_numpy() for c in ("tile", "side", "class", "n", "root"))
-        i, j = tile_pairs(tile, side, n, root, [np.frombuffer(x, np.uint64) for x in group.column("bits").to_pylist()], percent)
+        i, j, own, _ = _fitting(group, percent)
         pairs = np.unique(np.stack([np.minimum(own[i], own[j]), np.maximum(own[i], own[j])]), axis=1)
         return pa.table({"a": pa.array(pairs[0]), "b": pa.array(pairs[1])})
 
-    return rows.groupBy("tiles").applyInArrow(run, "a bigint, b bigint").distinct()
+    return _dealt(rows, sets, ["bits"]).groupBy("tiles").applyInArrow(run, "a bigint, b bigint").distinct()
+
+
+def joining(i: np.ndarray, j: np.ndarray, root: np.ndarray, sets: list[np.ndarray], percent: int) -> list[int]:
+    """Which of the pairs (i, j) link two components that no pair before them has joined: the arrays of others aren't looked at."""
+    to: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (y := to.get(x, x)) != x:
+            to[x] = to.get(y, y)
+            x = y
+        return x
+
+    out = []
+    for k, (a, b) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
+        x, y = find(int(root[a])), find(int(root[b]))
+        if x != y and linked(sets[a], sets[b], percent):
+            to[max(x, y)] = min(x, y)
+            out.append(k)
+    return out
+
+
+def _joining(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join the components of each tile as far as its pairs do: fewer than it has components."""
+
+    def run(group: pa.Table) -> pa.Table:
+        i, j, own, root = _fitting(group, percent)
+        pick = joining(i, j, root, [np.frombuffer(x, np.uint64) for x in group.column("own").to_pylist()], percent)
+        return pa.table({"a": pa.array(own[i[pick]]), "b": pa.array(own[j[pick]])})
+
+    return _dealt(rows, sets, ["bits", "own"]).groupBy("tiles").applyInArrow(run, "a bigint, b bigint")
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -394,17 +431,19 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, words: int, percent: i
 
     marked = common.staged(marks(sets, percent, path), f"{path}/marks")
     pivots = marked.groupBy("h").agg(F.min(F.struct("class", "n")).alias("p")).select("h", F.col("p.class").alias("pivot"), F.col("p.n").alias("m"))
-    stars = marked.join(pivots, "h").where(F.col("class") != F.col("pivot")).where(_in_band(percent)).select(F.col("pivot").alias("a"), F.col("class").alias("b")).distinct()
-    links = common.staged(_verified(common.staged(stars, f"{path}/stars"), sets, percent), f"{path}/first_links")
+    marked = common.staged(marked.join(pivots, "h"), f"{path}/pivots")
+    stars = marked.where(F.col("class") != F.col("pivot")).where(_in_band(percent)).select(F.col("pivot").alias("a"), F.col("class").alias("b")).distinct()
+    stars = common.staged(stars, f"{path}/stars")
+    links = common.staged(_verified(stars, sets, percent), f"{path}/first_links")
 
     roots = components(links, f"{path}/first")
     placed = common.staged(marked.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class")), f"{path}/placed")
     mixed = placed.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("h")
     mixed = common.staged(placed.join(mixed, "h", "left_semi"), f"{path}/mixed")
     tiles = mixed.where(F.col("c") <= RARE).select(F.col("h").alias("tile"), F.lit(0).alias("side"), "class", "n", "root")
-    tiles = common.staged(tiles.unionByName(_blocks(mixed.where(F.col("c") > RARE), percent, path)), f"{path}/tiles")
     asked = common.staged(_candidates(tiles, sets, percent).join(stars, ["a", "b"], "left_anti"), f"{path}/asked")
-    links = links.unionByName(common.staged(_verified(asked, sets, percent), f"{path}/links"))
+    blocks = common.staged(_blocks(mixed.where(F.col("c") > RARE), percent, path), f"{path}/blocks")
+    links = links.unionByName(common.staged(_verified(asked, sets, percent), f"{path}/links")).unionByName(common.staged(_joining(blocks, sets, percent), f"{path}/joining"))
 
     roots = components(links, f"{path}/all")
     placed = classes.select("class", "id").join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))

@@ -34,3 +34,30 @@ def test_stages_keep_the_columns(spark):
         docs = stage(spark, docs, SF)
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert np.all([r.text is not None for r in docs.collect()])
+
+
+def test_run_edges(spark, tmp_path):
+    """Null ids and texts, repeated rows, a very long text, clashing columns, and an empty table."""
+    words = lambda k, n: " ".join(f"word{k}{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}" for i in range(n))
+    rows = [(1, None), (2, ""), (3, words("a", 60)), (3, words("a", 60)), (None, words("b", 70)), (5, words("c", 15_000)), (6, "few words")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("doc_id", "text", "'en' as lang", "'s' as source", "cast(length(text) as bigint) as n_chars", "1 as posterior", "2 as may_hold", "3 as digest")
+    empty = spark.createDataFrame([], "item_id bigint, text string")
+    for name, table in (("all", docs), ("none", docs.where("false"))):
+        table.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        empty.write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    found = corpus_pipeline.run(spark, f"{tmp_path}/all").collect()
+    assert sorted(str(r.doc_id) for r in found if r.start == 0) == ["3", "5", "None"]
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").collect() == []
+
+
+def test_stages_free_what_earlier_ones_staged(spark, tmp_path):
+    import os
+
+    from loomql.llm import common
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        stage(spark, docs, SF).write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+    left = [p for p in corpus_pipeline._staged if os.path.isdir(p)]
+    assert left == [p for p in left if p in common.made] and not any(os.path.isdir(f"{p}/quality") for p in left)
