@@ -18,10 +18,15 @@ SPARK_TYPES = {INT: "bigint", FLOAT: "double", BOOL: "boolean", TEXT: "string",
 
 
 def arithmetic(op: str, a: Column, b: Column, kind: str) -> Column:
-    """Integers stay integers and divide toward zero; a division by zero is NULL."""
+    """Integers stay integers and divide toward zero; a division by zero, and a result beyond 64 bits, is NULL."""
     if op == "/":
-        return F.try_divide(a.cast("double"), b.cast("double")) if kind == FLOAT else F.call_function("div", a, F.nullif(b, F.lit(0)))
-    return {"+": a + b, "-": a - b, "*": a * b}[op]
+        if kind == FLOAT:
+            return F.try_divide(a.cast("double"), b.cast("double"))
+        least = (a == F.lit(-(1 << 63)).cast("bigint")) & (b == F.lit(-1))  # its quotient is one too large
+        return F.when(~F.coalesce(least, F.lit(False)), F.call_function("div", a, F.nullif(b, F.lit(0))))
+    if kind == FLOAT:
+        return {"+": a + b, "-": a - b, "*": a * b}[op]
+    return {"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply}[op](a, b)
 
 
 def like(value: Column, pattern: Column, literal: str | None) -> Column:
@@ -64,10 +69,12 @@ def _try_cast(value: Column, to: str) -> Column:
 
 
 def round_half_away(x: Column, digits: Column) -> Column:
-    """Half away from zero in binary: the number is scaled, rounded and scaled back."""
+    """Half away from zero in binary: the number is scaled, rounded and scaled back. One that is too large to have a
+    fraction once it is scaled stays as it is; so do infinities."""
     scale = F.pow(F.lit(10.0), digits.cast("double"))
     x = x.cast("double")
-    return F.signum(x) * F.floor(F.abs(x) * scale + F.lit(0.5)).cast("double") / scale
+    scaled = F.abs(x) * scale
+    return F.when(scaled >= F.lit(float(1 << 52)), x).otherwise(F.signum(x) * F.floor(scaled + F.lit(0.5)).cast("double") / scale)
 
 
 def substr(s: Column, start: Column, length: Column | None) -> Column:

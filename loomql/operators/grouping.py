@@ -10,7 +10,7 @@ def aggregate(name: str, value: Column, unique: bool) -> Column:
     if name == "COUNT":
         return F.count_distinct(value) if unique else F.count(value)
     if name == "SUM":
-        return F.sum_distinct(value) if unique else F.sum(value)
+        return F.sum_distinct(value) if unique else F.try_sum(value)  # a sum beyond 64 bits is NULL
     if name == "AVG":
         # Each distinct value counts once: their sum over their number.
         return F.try_divide(F.sum_distinct(value.cast("double")), F.count_distinct(value).cast("double")) if unique else F.avg(value)

@@ -25,10 +25,17 @@ def ranking(name: str, partition: list[Column], order: list[tuple[Column, bool]]
     return {"ROW_NUMBER": F.row_number, "RANK": F.rank, "DENSE_RANK": F.dense_rank}[name]().over(own).cast("bigint")
 
 
+def whole(name: str, value: Column | None, kind: str) -> Column:
+    """A total of all rows."""
+    if name == "COUNT":
+        return F.count(F.lit(1) if value is None else value)
+    if name == "SUM":
+        return F.coalesce(F.try_sum(value), F.when(F.count(value) == 0, F.lit(0).cast("bigint" if kind == INT else "double")))
+    return {"AVG": F.avg, "MIN": F.min, "MAX": F.max}[name](value)
+
+
 def total(name: str, value: Column | None, partition: list[Column], kind: str) -> Column:
     own = Window.partitionBy(*partition)
-    if name == "COUNT":
-        return F.count(F.lit(1) if value is None else value).over(own)
     if name == "SUM":
-        return F.coalesce(F.sum(value).over(own), F.lit(0).cast("bigint" if kind == INT else "double"))
-    return {"AVG": F.avg, "MIN": F.min, "MAX": F.max}[name](value).over(own)
+        return F.coalesce(F.try_sum(value).over(own), F.when(F.count(value).over(own) == 0, F.lit(0).cast("bigint" if kind == INT else "double")))
+    return whole(name, value, kind).over(own)

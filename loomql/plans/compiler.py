@@ -164,8 +164,10 @@ class Compiler:
             case S.In(a, None, query, negated):
                 value, inner = more(a), self.fetch(query, scope)
                 x, y = self.comparable(value, (F.col("c0"), inner.types[0]), "type mismatch in IN list")
-                found = x.isin(inner.frame.select(y.alias("c0")))
-                return ~found if negated else found, BOOL
+                if negated:
+                    same, some, null = self._members(a, query, scope)
+                    return F.when(same, False).when(null | (x.isNull() & some), F.lit(None).cast("boolean")).otherwise(True), BOOL
+                return x.isin(inner.frame.select(y.alias("c0"))), BOOL
             case S.Subquery(query, exists):
                 inner = self.fetch(query, scope)
                 if exists:
@@ -196,6 +198,25 @@ class Compiler:
                 raise SemanticFault("a window function must be a whole item of the FETCH list")
         raise SemanticFault(f"unsupported expression {type(e).__name__}")
 
+    def _members(self, a: Any, query: Any, scope: Scope) -> tuple[Column, Column, Column]:
+        """Whether a query has the value of ``a``, any row, and a NULL: what NOT IN depends on.
+
+        Spark's own NOT IN broadcasts the whole query, whatever its size; an equality becomes a join of any kind.
+        """
+        inner, again, null = (self.fetch(query, scope) for _ in range(3))
+        x, y = self.comparable(self.expression(a, Scope([], scope)), (F.col("c0"), inner.types[0]), "type mismatch in IN list")
+        return inner.frame.where(x == y).exists(), again.frame.exists(), null.frame.where(F.col("c0").isNull()).exists()
+
+    def filtered(self, frame: DataFrame, when: Any, scope: Scope) -> DataFrame:
+        """Rows for which the condition is true. NOT IN of a query, as a condition of its own, is an anti join."""
+        match when:
+            case S.Logic("AND", a, b):
+                return self.filtered(self.filtered(frame, a, scope), b, scope)
+            case S.In(a, None, query, True):
+                same, some, null = self._members(a, query, scope)
+                return frame.where(~same).where(~null).where(self.expression(a, scope)[0].isNotNull() | ~some)
+        return frame.where(self.condition(when, scope))
+
     def literal(self, v: Any) -> tuple[Column, str]:
         if v is None:
             return F.lit(None), NULL
@@ -235,7 +256,7 @@ class Compiler:
     def fetch(self, q: S.Fetch, outer: Scope | None) -> Compiled:
         frame, scope = self.sources(q, outer)
         if q.when is not None:
-            frame = frame.where(self.condition(q.when, scope))
+            frame = self.filtered(frame, q.when, scope)
         items = self.items(q, scope)
         if any(isinstance(i.value, S.Window) for i in items):
             return self.windowed(q, frame, scope, items)
@@ -342,6 +363,12 @@ class Compiler:
                     raise SemanticFault(f"{w.name}(*) is not allowed")
                 if w.name in ("SUM", "AVG") and kind not in (INT, FLOAT):
                     raise SemanticFault(f"{w.name} requires a numeric column")
+                if not partition and scope.outer is None:  # one row beside all others, in place of all rows in one task
+                    name = f"w{next(self._numbers)}_{n}"
+                    one = frame.agg(windows.whole(w.name, value, kind).alias(name))
+                    frame = frame.crossJoin(F.broadcast(one))
+                    made.append((i, F.col(name), INT if w.name == "COUNT" else FLOAT if w.name == "AVG" else kind))
+                    continue
                 column = windows.total(w.name, value, partition, kind)
                 kind = INT if w.name == "COUNT" else FLOAT if w.name == "AVG" else kind
             else:

@@ -27,7 +27,7 @@ READS: dict[str, tuple[str, str]] = {
     "filter_in": ("FETCH c_custkey, c_mktsegment FROM customer WHEN c_nationkey IN (1, 3, 5, 7)", "SELECT c_custkey, c_mktsegment FROM customer WHERE c_nationkey IN (1, 3, 5, 7)"),
     "filter_not_in": ("FETCH n_name FROM nation WHEN n_regionkey NOT IN (0, 2)", "SELECT n_name FROM nation WHERE n_regionkey NOT IN (0, 2)"),
     "filter_like": ("FETCH p_partkey, p_type FROM part WHEN p_type LIKE '%A%' AND p_brand NOT LIKE '_rand#1%'", "SELECT p_partkey, p_type FROM part WHERE p_type LIKE '%A%' AND p_brand NOT LIKE '_rand#1%'"),
-    "filter_is_null": ("FETCH c.c_custkey, o.o_orderkey FROM customer c LEFT LINK orders o ON c.c_custkey = o.o_custkey WHEN o.o_orderkey IS NULL", "SELECT c.c_custkey, o.o_orderkey FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey WHERE o.o_orderkey IS NULL"),
+    "filter_is_null": ("FETCH c.c_custkey, o.o_orderkey FROM customer c LEFT LINK orders o ON c.c_custkey = o.o_custkey AND o.o_totalprice > 200000 WHEN o.o_orderkey IS NULL", "SELECT c.c_custkey, o.o_orderkey FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey AND o.o_totalprice > 200000 WHERE o.o_orderkey IS NULL"),
     "filter_is_not_null": ("FETCH COUNT(*) AS n FROM customer c LEFT LINK orders o ON c.c_custkey = o.o_custkey WHEN o.o_orderkey IS NOT NULL", "SELECT count(*) AS n FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey WHERE o.o_orderkey IS NOT NULL"),
     "filter_time_text": ("FETCH o_orderkey FROM orders WHEN o_orderdate > '1997-01-01'", "SELECT o_orderkey FROM orders WHERE o_orderdate > TIMESTAMP '1997-01-01'"),
     "three_valued": ("FETCH c_custkey, ((NULLIF(c_nationkey, 3) = 5) OR c_nationkey > 20) AS a, ((NULLIF(c_nationkey, 3) = 5) AND c_nationkey > 20) AS b, (NOT (NULLIF(c_nationkey, 3) = 5)) AS c FROM customer", "SELECT c_custkey, (NULLIF(c_nationkey, 3) = 5) OR c_nationkey > 20 AS a, (NULLIF(c_nationkey, 3) = 5) AND c_nationkey > 20 AS b, NOT (NULLIF(c_nationkey, 3) = 5) AS c FROM customer"),
@@ -40,6 +40,8 @@ READS: dict[str, tuple[str, str]] = {
     "str_substr": ("FETCH c_custkey, SUBSTR(c_name, 3, 4) AS a, SUBSTR(c_name, 5) AS b, SUBSTR(c_name, 0, 3) AS c, SUBSTR(c_name, 100, 2) AS d FROM customer", "SELECT c_custkey, substr(c_name, 3, 4) AS a, substr(c_name, 5) AS b, substr(c_name, 1, 3) AS c, '' AS d FROM customer"),
     "str_trim": ("FETCH n_name, TRIM('  x y  ') AS t FROM nation", "SELECT n_name, 'x y' AS t FROM nation"),
     "num_abs_round_ceil_floor": ("FETCH s_suppkey, ABS(s_acctbal) AS a, ROUND(s_acctbal) AS r, ROUND(s_acctbal, 1) AS r1, CEIL(s_acctbal) AS c, FLOOR(s_acctbal) AS f FROM supplier", "SELECT s_suppkey, abs(s_acctbal) AS a, sign(s_acctbal) * floor(abs(s_acctbal) + 0.5) AS r, sign(s_acctbal) * floor(abs(s_acctbal) * 10 + 0.5) / 10 AS r1, CAST(ceil(s_acctbal) AS BIGINT) AS c, CAST(floor(s_acctbal) AS BIGINT) AS f FROM supplier"),
+    "round_large": ("FETCH p_partkey, ROUND(p_retailprice * 10000000000.0, 9) AS r, ROUND(0 - p_retailprice * 100000000000000000000.0) AS s FROM part", "SELECT p_partkey, p_retailprice * CAST(1e10 AS DOUBLE) AS r, 0 - p_retailprice * CAST(1e20 AS DOUBLE) AS s FROM part"),
+    "int_overflow": ("FETCH n_nationkey, n_nationkey + 9223372036854775800 AS a, n_nationkey * 9223372036854775807 AS m, -9223372036854775807 - n_nationkey AS s FROM nation", "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, TRY_CAST(CAST(n_nationkey AS HUGEINT) + 9223372036854775800 AS BIGINT) AS a, TRY_CAST(CAST(n_nationkey AS HUGEINT) * 9223372036854775807 AS BIGINT) AS m, TRY_CAST(CAST(-9223372036854775807 AS HUGEINT) - n_nationkey AS BIGINT) AS s FROM nation"),
     "coalesce_nullif": ("FETCH c.c_custkey, COALESCE(o.o_orderkey, 0 - 1) AS k, NULLIF(c.c_mktsegment, 'BUILDING') AS s FROM customer c LEFT LINK orders o ON c.c_custkey = o.o_custkey", "SELECT c.c_custkey, coalesce(o.o_orderkey, -1) AS k, nullif(c.c_mktsegment, 'BUILDING') AS s FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey"),
     "cast_matrix": ("FETCH p_partkey, CAST(p_retailprice AS INT) AS i, CAST(p_size AS FLOAT) AS f, CAST((p_size > 25) AS INT) AS b, CAST((p_size > 25) AS TEXT) AS t, CAST(p_size AS TEXT) AS s, CAST('12abc' AS INT) AS p, CAST('x' AS INT) AS n, CAST('2.5e1z' AS FLOAT) AS e, CAST(p_size - 10 AS BOOL) AS z FROM part", "SELECT p_partkey, CAST(trunc(p_retailprice) AS BIGINT) AS i, CAST(p_size AS DOUBLE) AS f, CAST(p_size > 25 AS BIGINT) AS b, upper(CAST(p_size > 25 AS VARCHAR)) AS t, CAST(p_size AS VARCHAR) AS s, CAST(12 AS BIGINT) AS p, CAST(NULL AS BIGINT) AS n, CAST(25 AS DOUBLE) AS e, p_size <> 10 AS z FROM part"),
     "case_when": ("FETCH o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'high' WHEN o_totalprice > 100000 THEN 'mid' ELSE 'low' END AS c, CASE WHEN o_orderstatus = 'F' THEN 1 END AS d FROM orders", "SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'high' WHEN o_totalprice > 100000 THEN 'mid' ELSE 'low' END AS c, CAST(CASE WHEN o_orderstatus = 'F' THEN 1 END AS BIGINT) AS d FROM orders"),
@@ -71,27 +73,31 @@ READS: dict[str, tuple[str, str]] = {
     "win_sum_partition": ("FETCH l_orderkey, l_linenumber, SUM(l_quantity) OVER (PARTITION BY l_orderkey) AS q, COUNT(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem", "SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, sum(l_quantity) OVER (PARTITION BY l_orderkey) AS q, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem"),
     "win_agg_with_sort_is_total": ("FETCH p_partkey, SUM(p_size) OVER (PARTITION BY p_brand SORT BY p_partkey) AS s, MAX(p_size) OVER (PARTITION BY p_brand SORT BY p_partkey) AS m, MIN(p_size) OVER (PARTITION BY p_brand) AS l, COUNT(p_size) OVER (PARTITION BY p_brand) AS c FROM part", "SELECT p_partkey, CAST(sum(p_size) OVER w AS BIGINT) AS s, CAST(max(p_size) OVER w AS BIGINT) AS m, CAST(min(p_size) OVER w AS BIGINT) AS l, count(p_size) OVER w AS c FROM part WINDOW w AS (PARTITION BY p_brand)"),
     "win_avg": ("FETCH p_partkey, AVG(p_size) OVER (PARTITION BY p_brand) AS a FROM part", "SELECT p_partkey, CAST(sum(p_size) OVER w AS DOUBLE) / count(p_size) OVER w AS a FROM part WINDOW w AS (PARTITION BY p_brand)"),
+    "win_whole": ("FETCH p_partkey, COUNT(*) OVER () AS n, SUM(p_size) OVER () AS s, MAX(p_retailprice) OVER () AS m, SUM(p_size) OVER (PARTITION BY p_brand) AS b FROM part WHEN p_size > 5", "SELECT p_partkey, count(*) OVER () AS n, CAST(sum(p_size) OVER () AS BIGINT) AS s, max(p_retailprice) OVER () AS m, CAST(sum(p_size) OVER (PARTITION BY p_brand) AS BIGINT) AS b FROM part WHERE p_size > 5"),
     "win_over_join": ("FETCH c.c_custkey, ROW_NUMBER() OVER (PARTITION BY n.n_name SORT BY c.c_acctbal DESC, c.c_custkey) AS rn FROM customer c LINK nation n ON c.c_nationkey = n.n_nationkey", "SELECT c.c_custkey, row_number() OVER (PARTITION BY n.n_name ORDER BY c.c_acctbal DESC, c.c_custkey) AS rn FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey"),
-    "sort_multi": ("FETCH c_mktsegment, c_custkey FROM customer SORT BY c_mktsegment DESC, c_custkey ASC TAKE 200", "SELECT c_mktsegment, c_custkey FROM customer ORDER BY c_mktsegment DESC, c_custkey LIMIT 200"),
+    "sort_multi": ("FETCH c_mktsegment, c_custkey FROM customer SORT BY c_mktsegment DESC, c_custkey ASC", "SELECT c_mktsegment, c_custkey FROM customer ORDER BY c_mktsegment DESC, c_custkey"),
     "topk": ("FETCH o_orderkey, o_totalprice FROM orders SORT BY o_totalprice DESC, o_orderkey TAKE 10", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10"),
     "take_skip": ("FETCH o_orderkey FROM orders SORT BY o_orderkey TAKE 10 SKIP 25", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 10 OFFSET 25"),
     "skip_alone": ("FETCH n_nationkey FROM nation SORT BY n_nationkey SKIP 20", "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey FROM nation ORDER BY n_nationkey OFFSET 20"),
-    "sort_hidden_column": ("FETCH p_name FROM part SORT BY p_retailprice DESC, p_partkey TAKE 15", "SELECT p_name FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 15"),
+    "sort_hidden_column": ("FETCH p_name FROM part SORT BY p_retailprice DESC, p_partkey", "SELECT p_name FROM part ORDER BY p_retailprice DESC, p_partkey"),
     "distinct": ("FETCH UNIQUEONLY l_returnflag, l_linestatus FROM lineitem", "SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem"),
-    "distinct_sort": ("FETCH UNIQUEONLY p_brand FROM part SORT BY p_brand TAKE 5", "SELECT DISTINCT p_brand FROM part ORDER BY p_brand LIMIT 5"),
-    "distinct_sort_hidden": ("FETCH UNIQUEONLY p_brand FROM part SORT BY p_partkey TAKE 4", "SELECT p_brand FROM part GROUP BY p_brand ORDER BY min(p_partkey) LIMIT 4"),
+    "distinct_sort": ("FETCH UNIQUEONLY p_brand FROM part SORT BY p_brand", "SELECT DISTINCT p_brand FROM part ORDER BY p_brand"),
+    "distinct_sort_hidden": ("FETCH UNIQUEONLY p_brand FROM part SORT BY p_partkey", "SELECT p_brand FROM part GROUP BY p_brand ORDER BY min(p_partkey)"),
     "union_all": ("FETCH s_nationkey FROM supplier UNION ALL FETCH c_nationkey FROM customer", "SELECT CAST(s_nationkey AS BIGINT) AS s_nationkey FROM supplier UNION ALL SELECT c_nationkey FROM customer"),
     "union": ("FETCH s_nationkey FROM supplier UNION FETCH c_nationkey FROM customer", "SELECT CAST(s_nationkey AS BIGINT) AS s_nationkey FROM supplier UNION SELECT c_nationkey FROM customer"),
     "intersect": ("FETCH c_custkey FROM customer INTERSECT FETCH o_custkey FROM orders", "SELECT c_custkey FROM customer INTERSECT SELECT o_custkey FROM orders"),
-    "except": ("FETCH c_custkey FROM customer EXCEPT FETCH o_custkey FROM orders", "SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders"),
+    "except": ("FETCH c_custkey FROM customer EXCEPT FETCH o_custkey FROM orders WHEN o_totalprice > 200000", "SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 200000"),
     "setop_left_assoc": ("FETCH n_nationkey FROM nation UNION FETCH s_suppkey FROM supplier INTERSECT FETCH r_regionkey FROM region", "(SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey FROM nation UNION SELECT s_suppkey FROM supplier) INTERSECT SELECT r_regionkey FROM region"),
     "sub_scalar": ("FETCH o_orderkey FROM orders WHEN o_totalprice > (FETCH AVG(o_totalprice) FROM orders)", "SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT avg(o_totalprice) FROM orders)"),
     "sub_scalar_projection": ("FETCH r_name, (FETCH MAX(n_nationkey) FROM nation) AS m, 1 + (FETCH COUNT(*) FROM region) AS n FROM region", "SELECT r_name, CAST((SELECT max(n_nationkey) FROM nation) AS BIGINT) AS m, 1 + (SELECT count(*) FROM region) AS n FROM region"),
     "sub_in": ("FETCH c_custkey FROM customer WHEN c_custkey IN (FETCH o_custkey FROM orders WHEN o_totalprice > 200000)", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)"),
-    "sub_not_in": ("FETCH c_custkey FROM customer WHEN c_custkey NOT IN (FETCH o_custkey FROM orders)", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"),
+    "sub_not_in": ("FETCH c_custkey FROM customer WHEN c_custkey NOT IN (FETCH o_custkey FROM orders WHEN o_totalprice > 200000)", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)"),
     "sub_not_in_null": ("FETCH n_name FROM nation WHEN n_regionkey NOT IN (FETCH NULLIF(r_regionkey, 1) FROM region WHEN r_regionkey < 3)", "SELECT n_name FROM nation WHERE n_regionkey NOT IN (SELECT NULLIF(r_regionkey, 1) FROM region WHERE r_regionkey < 3)"),
+    "sub_not_in_value": ("FETCH n_name, (n_regionkey NOT IN (FETCH NULLIF(r_regionkey, 1) FROM region WHEN r_regionkey < 3)) AS a, (NULLIF(n_regionkey, 4) NOT IN (FETCH r_regionkey FROM region WHEN r_regionkey < 2)) AS b FROM nation", "SELECT n_name, n_regionkey NOT IN (SELECT NULLIF(r_regionkey, 1) FROM region WHERE r_regionkey < 3) AS a, NULLIF(n_regionkey, 4) NOT IN (SELECT r_regionkey FROM region WHERE r_regionkey < 2) AS b FROM nation"),
+    "sub_not_in_and": ("FETCH s_suppkey FROM supplier WHEN s_acctbal > 0 AND NULLIF(s_nationkey, 3) NOT IN (FETCH n_nationkey FROM nation WHEN n_regionkey = 1) AND s_suppkey > 2", "SELECT s_suppkey FROM supplier WHERE s_acctbal > 0 AND NULLIF(s_nationkey, 3) NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1) AND s_suppkey > 2"),
+    "sub_not_in_empty": ("FETCH n_name FROM nation WHEN NULLIF(n_regionkey, 2) NOT IN (FETCH r_regionkey FROM region WHEN r_regionkey > 90)", "SELECT n_name FROM nation WHERE NULLIF(n_regionkey, 2) NOT IN (SELECT r_regionkey FROM region WHERE r_regionkey > 90)"),
     "sub_exists": ("FETCH c_custkey FROM customer c WHEN EXISTS (FETCH o_orderkey FROM orders o WHEN o.o_custkey = c.c_custkey AND o.o_totalprice > 200000)", "SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 200000)"),
-    "sub_not_exists": ("FETCH c_custkey FROM customer c WHEN NOT EXISTS (FETCH o_orderkey FROM orders o WHEN o.o_custkey = c.c_custkey)", "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)"),
+    "sub_not_exists": ("FETCH c_custkey FROM customer c WHEN NOT EXISTS (FETCH o_orderkey FROM orders o WHEN o.o_custkey = c.c_custkey AND o.o_totalprice > 200000)", "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 200000)"),
     "sub_corr_scalar": ("FETCH o_orderkey FROM orders o WHEN o_totalprice > (FETCH AVG(o_totalprice) FROM orders i WHEN i.o_custkey = o.o_custkey)", "SELECT o_orderkey FROM orders o WHERE o_totalprice > (SELECT avg(o_totalprice) FROM orders i WHERE i.o_custkey = o.o_custkey)"),
     "sub_corr_projection_count": ("FETCH n_name, (FETCH COUNT(*) FROM customer c WHEN c.c_nationkey = n.n_nationkey) AS k FROM nation n", "SELECT n_name, (SELECT count(*) FROM customer c WHERE c.c_nationkey = n.n_nationkey) AS k FROM nation n"),
     "sub_corr_unequal": ("FETCH r_name, (FETCH MIN(n_nationkey) FROM nation n WHEN n.n_regionkey > r.r_regionkey) AS m FROM region r", "SELECT r_name, CAST((SELECT min(n_nationkey) FROM nation n WHERE n.n_regionkey > r.r_regionkey) AS BIGINT) AS m FROM region r"),
@@ -127,10 +133,39 @@ WRITES: dict[str, tuple[str, str]] = {
     "fk_modify_cascade": ("BUILD RELATION p (id INT PRIMARY KEY); BUILD RELATION c (id INT, p INT REFERENCES p(id) ON MODIFY CASCADE); PUT INTO p VALUES (1), (2); PUT INTO c VALUES (10, 1), (11, 2), (12, 1); MODIFY p SET id = 99 WHEN id = 1; FETCH * FROM c", "SELECT * FROM (VALUES (CAST(10 AS BIGINT), CAST(99 AS BIGINT)), (11, 2), (12, 99)) AS x(id, p)"),
     "reshape_add": (f"{_NATION}; RESHAPE RELATION t ADD COLUMN note TEXT; PUT INTO t VALUES (100, 'new', 1, 'n'); FETCH id, note FROM t", "SELECT CAST(n_nationkey AS BIGINT) AS id, CAST(NULL AS VARCHAR) AS note FROM nation UNION ALL SELECT 100, 'n'"),
     "reshape_discard": (f"{_NATION}; RESHAPE RELATION t DISCARD COLUMN name; FETCH * FROM t", "SELECT CAST(n_nationkey AS BIGINT) AS id, CAST(n_regionkey AS BIGINT) AS reg FROM nation"),
-    "index_lookup": (f"{_NATION}; BUILD INDEX i ON t (id, reg); FETCH name FROM t WHEN id = 3 AND reg = 1", "SELECT n_name AS name FROM nation WHERE n_nationkey = 3 AND n_regionkey = 1"),
+    "index_lookup": (f"{_NATION}; BUILD INDEX i ON t (id, reg); FETCH name FROM t WHEN id = 3 AND reg = 3", "SELECT n_name AS name FROM nation WHERE n_nationkey = 3 AND n_regionkey = 3"),
+    "index_range": (f"{_NATION}; BUILD INDEX i ON t (id); FETCH name FROM t WHEN id BETWEEN 5 AND 9", "SELECT n_name AS name FROM nation WHERE n_nationkey BETWEEN 5 AND 9"),
+    "put_returning": ("BUILD RELATION t (id INT AUTO_INCREMENT, s TEXT DEFAULT 'none'); PUT INTO t (s) VALUES ('p'), ('q') RETURNING id, s", "SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'p'), (2, 'q')) AS x(id, s)"),
+    "upsert_returning": (f"{_UNIQUE}; PUT INTO t (id, name) VALUES (7, 'g'); PUT INTO t (id, name) VALUES (7, 'h'), (8, 'i') ON CONFLICT (id) DO MODIFY SET hits = hits + 5 RETURNING *", "SELECT * FROM (VALUES (CAST(7 AS BIGINT), 'g', CAST(5 AS BIGINT)), (8, 'i', 0)) AS x(id, name, hits)"),
+    "modify_from_returning": (f"{_NATION}; MODIFY t SET name = r.r_name FROM region r WHEN t.reg = r.r_regionkey AND t.id < 6 RETURNING id, name", "SELECT CAST(n_nationkey AS BIGINT) AS id, r_name AS name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey < 6"),
+    "fk_modify_set_null": ("BUILD RELATION p (id INT PRIMARY KEY); BUILD RELATION c (id INT, p INT REFERENCES p(id) ON MODIFY SET NULL); PUT INTO p VALUES (5), (6); PUT INTO c VALUES (50, 5), (60, 6); MODIFY p SET id = 55 WHEN id = 5; FETCH * FROM c", "SELECT * FROM (VALUES (CAST(50 AS BIGINT), CAST(NULL AS BIGINT)), (60, 6)) AS x(id, p)"),
+    "as_of_join": (f"{_NATION}; BUILD RELATION u AS FETCH r_regionkey AS rid, r_name AS rname FROM region; MODIFY t SET name = 'gone'; REMOVE FROM u WHEN rid > 1; FETCH t.name, u.rname FROM t AS OF 2 LINK u ON t.reg = u.rid", "SELECT n_name AS name, r_name AS rname FROM nation JOIN region ON n_regionkey = r_regionkey"),
+    "txn_reads_own_writes": (f"{_NATION}; START; REMOVE FROM t WHEN id > 9; MODIFY t SET reg = 0 - reg; FETCH id, reg FROM t", "SELECT CAST(n_nationkey AS BIGINT) AS id, CAST(0 - n_regionkey AS BIGINT) AS reg FROM nation WHERE n_nationkey <= 9"),
+    "first_row_of_group": (f"{_NATION}; FETCH reg, id, COUNT(*) AS n FROM t GROUP BY reg", "SELECT CAST(n_regionkey AS BIGINT) AS reg, CAST(min(n_nationkey) AS BIGINT) AS id, count(*) AS n FROM nation GROUP BY n_regionkey"),
+    "discard_and_build_again": (f"{_NATION}; BUILD VIEW v AS FETCH id FROM t; DISCARD VIEW v; DISCARD RELATION t; BUILD RELATION t (k INT); PUT INTO t VALUES (4); BUILD VIEW v AS FETCH k + 1 AS j FROM t; FETCH * FROM v", "SELECT CAST(5 AS BIGINT) AS j"),
     "explain": (f"{_NATION}; EXPLAIN FETCH UNIQUEONLY name FROM t WHEN id = 3 SORT BY name TAKE 5 SKIP 1", "SELECT * FROM (VALUES ('Limit 5 offset 1'), ('  Unique'), ('    Sort'), ('      Filter'), ('        Seq Scan on t')) AS x(plan)"),
 }
 
+#: name: (script, the message or the error of each of its statements in order)
+SAID: dict[str, tuple[str, list[str]]] = {
+    "messages": (
+        "BUILD RELATION t (id INT PRIMARY KEY, v INT); PUT INTO t VALUES (1, 1), (2, 2); MODIFY t SET v = 3 WHEN id = 1; REMOVE FROM t WHEN id = 2; BUILD INDEX i ON t (v); BUILD VIEW w AS FETCH id FROM t; START; UNDO; SAVE; RESHAPE RELATION t ADD COLUMN z TEXT; TRUNCATE RELATION t; DISCARD INDEX i; DISCARD VIEW w; DISCARD RELATION t",
+        ["BUILD RELATION", "PUT 0 2", "MODIFY 1", "REMOVE 1", "BUILD INDEX", "BUILD VIEW", "START", "UNDO", "WARNING: no transaction in progress", "RESHAPE RELATION", "TRUNCATE RELATION", "DISCARD INDEX", "DISCARD VIEW", "DISCARD RELATION"],
+    ),
+    "constraint_errors": (
+        "BUILD RELATION t (id INT PRIMARY KEY, s VARCHAR(4) NOT NULL, n INT CHECK (n > 5), u INT UNIQUE); PUT INTO t VALUES (1, 'abcd', 6, 1); PUT INTO t VALUES (1, 'a', 7, 2); PUT INTO t VALUES (2, NULL, 7, 2); PUT INTO t VALUES (2, 'abcde', 7, 2); PUT INTO t VALUES (2, 'a', 5, 2); PUT INTO t VALUES (2, 'a', 7, 1)",
+        ["BUILD RELATION", "PUT 0 1", "ERROR  runtime error: UNIQUE constraint failed: t.id", "ERROR  runtime error: NOT NULL constraint failed: t.s", "ERROR  runtime error: value too long for column 's' (max 4)", "ERROR  runtime error: CHECK constraint failed: t.n", "ERROR  runtime error: UNIQUE constraint failed: t.u"],
+    ),
+    "composite_key_error": (
+        "BUILD RELATION t (a INT, b INT, PRIMARY KEY (a, b)); PUT INTO t VALUES (1, 1), (1, 2); PUT INTO t VALUES (1, 2)",
+        ["BUILD RELATION", "PUT 0 2", "ERROR  runtime error: PRIMARY KEY constraint failed: t"],
+    ),
+    "reference_errors": (
+        "BUILD RELATION p (id INT PRIMARY KEY); BUILD RELATION c (id INT, p INT REFERENCES p(id)); PUT INTO p VALUES (1), (2); PUT INTO c VALUES (10, 1); PUT INTO c VALUES (11, 3); REMOVE FROM p WHEN id = 1; MODIFY p SET id = 4 WHEN id = 1; REMOVE FROM p WHEN id = 2",
+        ["BUILD RELATION", "BUILD RELATION", "PUT 0 2", "PUT 0 1", "ERROR  runtime error: foreign key violation: value not present in p(id)", "ERROR  runtime error: foreign key violation: row is referenced by table 'c'", "ERROR  runtime error: foreign key violation: row is referenced by table 'c'", "REMOVE 1"],
+    ),
+}
+
 
 def _folder(spark: SparkSession) -> str:
     """A fresh warehouse in the folder that all executors share; a temporary one where none is named."""
@@ -161,5 +196,30 @@ def _written(text: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
+def _persisted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What another session over the same warehouse sees: tables, views, and the version before the last."""
+    folder = _folder(spark)
+    text = f"{_NATION}; BUILD VIEW v AS FETCH id, name FROM t WHEN reg = 2; REMOVE FROM t WHEN id > 20"
+    for found in _engine(spark, sf_dir, folder, text).run_script(text):
+        if isinstance(found, Exception):
+            raise found
+    return Engine(spark, folder).frame("FETCH id, name FROM v AS OF 1")
+
+
+def _said(text: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = _engine(spark, sf_dir, _folder(spark), text).run_script(text)
+        return spark.createDataFrame([(i, str(x) if isinstance(x, Exception) else x.message) for i, x in enumerate(found)], "step bigint, said string")
+
+    return run
+
+
+def _said_sql(lines: list[str]) -> str:
+    rows = ", ".join(f"(CAST({i} AS BIGINT), '{x.replace(chr(39), 2 * chr(39))}')" for i, x in enumerate(lines))
+    return f"SELECT * FROM (VALUES {rows}) AS x(step, said)"
+
+
 QUERIES = {name: _read(text) for name, (text, _) in READS.items()} | {name: _written(text) for name, (text, _) in WRITES.items()}
-SQL = {name: sql for name, (_, sql) in (READS | WRITES).items()}
+QUERIES |= {name: _said(text) for name, (text, _) in SAID.items()} | {"persistence": _persisted}
+SQL = {name: sql for name, (_, sql) in (READS | WRITES).items()} | {name: _said_sql(lines) for name, (_, lines) in SAID.items()}
+SQL["persistence"] = "SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS name FROM nation WHERE n_regionkey = 2"

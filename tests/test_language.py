@@ -122,3 +122,21 @@ def test_streams(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert spark.table("shouted").collect()[0][0] == "B"
+
+
+def test_not_in_needs_no_broadcast(spark):
+    """A NOT IN over a query is an anti join by its equality; Spark's own would send out the whole query."""
+    engine = Engine(spark)
+    engine.register_frame("big", spark.range(50).selectExpr("id", "nullif(id % 7, 3) as k"))
+    frame = engine.frame("FETCH id FROM big WHEN id < 40 AND id NOT IN (FETCH id FROM big WHEN id > 5)")
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" in plan and "isnull(" not in plan.split("LeftAnti")[1].split("\n")[0]
+    assert sorted(r.id for r in frame.collect()) == [0, 1, 2, 3, 4, 5]
+
+
+def test_whole_windows_use_no_single_partition(spark):
+    engine = Engine(spark)
+    engine.register_frame("big", spark.range(50).selectExpr("id"))
+    frame = engine.frame("FETCH id, SUM(id) OVER () AS s FROM big")
+    assert "Window" not in frame._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.s) for r in frame.collect()} == {1225}
