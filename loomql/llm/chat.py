@@ -7,7 +7,8 @@ rendered with their control strings escaped, after which neither a role nor a te
 
 * a backslash becomes two, ``</turn>`` becomes ``<\\/turn>``, ``###`` becomes ``#\\##``; in roles ``:`` becomes ``\\:``.
 
-The rendered conversation is parsed once more as a whole and the result compared with the source: ``identical`` says so.
+The rendered conversation is parsed once more as a whole and the result compared with the source: ``identical`` says so,
+and reading ``formatted`` of one that differs is an error.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ def parse(rendered: Column) -> Column:
     pieces = F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0)))
     heads = F.transform(pieces, lambda p: F.struct(p.alias("piece"), F.regexp_extract(p, role_end, 1).alias("role")))
     read = F.transform(heads, lambda h: F.struct(unescape(h["role"]).alias("role"), F.substr(h["piece"], F.char_length(h["role"]) + F.lit(len(OPEN) + 3)).alias("body"), (F.char_length(h["role"]) + F.lit(len(OPEN) + 2)).alias("head")))
-    # The positions are running sums over the turns, so a conversation is read in one pass.
+    # The positions are running sums over the turns. Their array is copied once a turn: eight bytes times the turns squared.
     ends = F.aggregate(read, F.struct(F.array().cast("array<bigint>").alias("to"), F.lit(0).cast("bigint").alias("at")), lambda acc, x: F.struct(F.concat(acc["to"], F.array(acc["at"])).alias("to"), (acc["at"] + x["head"] + F.char_length(x["body"]) + F.lit(len(END) + 1)).cast("bigint").alias("at")), lambda acc: acc["to"])
     return F.transform(
         F.arrays_zip(read.alias("r"), ends.alias("e")),
@@ -71,6 +72,8 @@ def format_conversations(turns: DataFrame, *, conv_col: str = "conv_id", turn_co
     whole = whole.select("conv_id", F.transform("own", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("source"), F.array_join(F.transform("own", lambda x: x["piece"]), "").alias("formatted"))
     read = whole.withColumn("parsed", parse(F.col("formatted")))
     identical = F.col("source") == F.transform("parsed", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text")))
+    # Escaping leaves no control string in a turn, so this can't differ; if it did, the text must not be used.
+    read = read.withColumn("formatted", F.when(identical, F.col("formatted")).otherwise(F.raise_error(F.concat(F.lit("no round trip: conversation "), F.coalesce(F.col("conv_id").cast("string"), F.lit("null"))))))
     loss = F.transform(F.filter("parsed", lambda x: x["role"] == LOSS_ROLE), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
     return read.select("conv_id", "formatted", loss.alias("loss_spans"), identical.alias("identical"))
 

@@ -448,7 +448,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, words: int, percent: i
     roots = components(links, f"{path}/all")
     placed = classes.select("class", "id").join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
     # Nulls are smallest in a struct, so whether an id is null goes first.
-    smallest = placed.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "class")).alias("s"))
+    smallest = common.staged(placed.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "class")).alias("s")), f"{path}/smallest")
     out = placed.join(smallest, "root").select("class", F.col("s.id").alias("component_id"), F.col("s.class").alias("first_class"))
     out = common.staged(out, f"{kept}/components")
     common.free(spark, path, f"{kept}/classes")

@@ -83,6 +83,8 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op1_reshard": op1_reshard, "op2_ppm_score": op2_ppm_score, "op3_warc_chain": op3_warc_chain, "op4_hilbert_pack": op4_hilbert_pack, "op5_secret_grammar": op5_secret_grammar, "op6_chat_round_trip": op6_chat_round_trip, "op7_quality_votes": op7_quality_votes, "op8_jaccard_tiles": op8_jaccard_tiles, "op9_personal_data": op9_personal_data, "op10_decontaminate": op10_decontaminate}
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_WORDS = lambda kept: f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{kept}')"
 _DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 _BASE32 = " || ".join(f"translate(to_base(CAST('0x' || substr(sha1(h), {1 + 5 * k}, 5) AS BIGINT), 32, 4), '{_DIGITS}', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567')" for k in range(8))
 
@@ -103,4 +105,24 @@ SQL: dict[str, str] = {
                sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
                CAST(sum(length('### ' || role || ': ' || shown || '</turn>') + 1) AS BIGINT) AS formatted_chars
         FROM e GROUP BY conv_id""",
+    "op8_jaccard_tiles": rf"""
+        WITH RECURSIVE d AS (SELECT doc_id, {_WORDS(r"[^\x20\x09-\x0D]+")} AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        both_have AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+        links AS (SELECT a, b FROM both_have JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * c >= 75 * (x.n + y.n - c)),
+        reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+        least_of AS (SELECT a, min(b) AS m FROM reach GROUP BY a)
+        SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) AS component_id FROM d LEFT JOIN n USING (doc_id) LEFT JOIN least_of ON d.doc_id = a""",
+    "op10_decontaminate": rf"""
+        WITH d AS (SELECT doc_id, {_WORDS(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")} AS w FROM documents),
+        b AS (SELECT item_id, {_WORDS(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")} AS w FROM benchmark),
+        win AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS s FROM (SELECT item_id, w, least(len(w), 10) AS k, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+        sizes AS (SELECT DISTINCT k FROM win),
+        own AS (SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS s FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, sizes WHERE len(w) >= k)),
+        hit AS (SELECT DISTINCT doc_id, i, k, item_id FROM own JOIN win USING (k, s)),
+        places AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM hit) GROUP BY doc_id),
+        items AS (SELECT doc_id, count(*) AS n, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id)
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(places.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(items.n, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, places.n IS NOT NULL AS contaminated
+        FROM d LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id)""",
 }

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import zlib
 from collections import Counter
 from itertools import permutations
 
@@ -59,7 +60,23 @@ def test_op1_shards(spark, texts):
         slots.setdefault(r.shard, []).append(r.slot)
     assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and set(sizes) <= set(range(40))
     largest = max(r.size for r in rows)
-    assert max(abs(n - sum(sizes.values()) / 40) for n in sizes.values()) <= 2 * largest
+    assert max(abs(n - sum(sizes.values()) / 40) for n in sizes.values()) <= largest
+    assert all(r.text_crc32 == zlib.crc32((texts[r.doc_id] or "").encode()) and r.grown_shard is None for r in rows)
+    assert sum(sizes.values()) == sum(r.size for r in rows) and len(sizes) == 40
+
+
+def test_levelling_brings_shards_near_their_capacities():
+    draw = random.Random(3)
+    rows = [[(draw.randint(20, 4000), (j, k)) for k in range(30)] for j in range(12)]
+    sizes = [sum(n for n, _ in own) for own in rows]
+    capacity = shard.even(sum(sizes), 12)
+    moves = shard.levelled(sizes, capacity, dict(enumerate(rows)))
+    after = sizes.copy()
+    for (j, k), n, a, b in moves:
+        assert j == a and (n, (j, k)) in rows[a]
+        after[a], after[b] = after[a] - n, after[b] + n
+    assert len({row for row, *_ in moves}) == len(moves) and sum(after) == sum(sizes)
+    assert max(abs(n - c) for n, c in zip(after, capacity, strict=True)) < 0.02 * capacity[0] < max(abs(n - c) for n, c in zip(sizes, capacity, strict=True))
 
 
 def test_shards_without_a_move_keep_their_files(spark, tmp_path):
