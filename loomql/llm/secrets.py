@@ -65,7 +65,15 @@ def labelled(count: int = EXAMPLES, seed: int = SEED) -> dict[str, list[str]]:
     word = lambda n: "".join(draw.choices(syllables, k=n))
 
     def plain() -> str:
-        kind = draw.randrange(6)
+        kind = draw.randrange(10)
+        if kind == 6:
+            return some(_DIGIT, draw.randint(12, 28))
+        if kind == 7:
+            return some(draw.choice([_DIGIT + "ABCDEF", _DIGIT + "abcdef"]), draw.choice([16, 20, 32, 40, 64]))
+        if kind == 8:
+            return "-".join(some(_DIGIT + "abcdef", n) for n in (8, 4, 4, 4, 12))
+        if kind == 9:
+            return "-".join(some(_DIGIT, draw.randint(2, 5)) for _ in range(draw.randint(4, 6)))
         if kind < 3:
             return (lambda w: w.capitalize() if draw.random() < 0.3 else w)(word(draw.randint(6, 12)))
         if kind == 3:
@@ -76,7 +84,10 @@ def labelled(count: int = EXAMPLES, seed: int = SEED) -> dict[str, list[str]]:
 
     make = {
         "github": lambda: "gh" + draw.choice("pousr") + "_" + some(_ALNUM, 36),
-        "slack": lambda: f"xox{draw.choice('bp')}-{some(_DIGIT, 12)}-{some(_DIGIT, 12)}-{some(_ALNUM, 24)}",
+        "github_pat": lambda: f"github_pat_{some(_ALNUM, 22)}_{some(_ALNUM, 59)}",
+        "gitlab": lambda: "glpat-" + some(_ALNUM, 20),
+        "npm": lambda: "npm_" + some(_ALNUM, 36),
+        "slack": lambda: f"xox{draw.choice('bp')}-{some(_DIGIT, draw.randint(10, 13))}-{some(_DIGIT, draw.randint(10, 13))}-{some(_ALNUM, 24)}",
         "stripe": lambda: f"{draw.choice('sr')}k_{draw.choice(['live', 'test'])}_{some(_ALNUM, draw.choice([24, 32]))}",
         "google": lambda: "AIza" + some(_ALNUM + "_-", 35),
         "session": lambda: "ASIA" + some(_UPPER + _DIGIT, 16),
@@ -152,7 +163,12 @@ def _fold(into: _State, other: _State) -> None:
 
 
 def infer(examples: list[str]) -> _State:
-    """The automaton: states are looked at breadth first, and each is merged with the first compatible one already kept."""
+    """The automaton: states are looked at breadth first, and each is merged with the last compatible one already kept.
+
+    A rarely reached state is compatible with nearly all others, as its counts tell little. The last one kept lies about as
+    deep and so has the likest past; merged with the first ones, rare tails would lead back to the start, which would then
+    take any character.
+    """
     root = prefix_tree(examples)
     kept = [root]
     rest = deque((root, k) for k in sorted(root.to))
@@ -162,7 +178,7 @@ def infer(examples: list[str]) -> _State:
         state = parent.to[k]
         if id(state) in done:
             continue
-        for other in kept:
+        for other in reversed(kept):
             if compatible(other, state):
                 parent.to[k] = other
                 _fold(other, state)
@@ -392,7 +408,8 @@ def written(spans: list[tuple[str, int, int]]) -> str:
 def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id_col, n_assign, n_access, n_hex, base_sha256, spans.
 
-    Null and empty texts have no spans; repeated rows give repeated rows; an empty table gives none; other columns are not
+    Null and empty texts have no spans; very long ones are scanned whole; of formats that tie the first listed counts, and
+    the plain patterns go before all; repeated rows give repeated rows; an empty table gives none; other columns are not
     looked at. Texts are scanned where they are read: nothing is shuffled.
     """
     spark = docs.sparkSession
