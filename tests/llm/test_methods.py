@@ -325,6 +325,28 @@ def test_secrets_joined_to_other_characters():
     assert secrets.cut(text, secrets.scan([text], automata)[0]) == "A=[SECRET]/B=[SECRET] ok"
 
 
+def test_secrets_beside_ordinary_runs():
+    """Every format keeps its own start, glued to other characters too; numbers, hashes, words and paths are no secrets."""
+    automata = secrets.learnt()
+    some = lambda letters, n: "".join(random.Random(n).choices(letters, k=n))
+    alnum, digits = secrets._ALNUM, secrets._DIGIT
+    for kind, text, own in [
+        ("npm", "{}", "npm_" + some(alnum, 36)), ("github_pat", "{}", f"github_pat_{some(alnum, 22)}_{some(alnum, 59)}"), ("slack", "{}", f"xoxb-{some(digits, 11)}-{some(digits, 13)}-{some(alnum, 24)}"), ("github", "export A={}", "ghp_" + some(alnum, 36)),
+        ("stripe", "STRIPE={}", "sk_live_" + some(alnum, 24)), ("github", "GH_PAT={}", "ghp_" + some(alnum, 36)), ("google", "/v1/{}", "AIza" + some(alnum, 35)), ("gitlab", "{}", "glpat-" + some(alnum, 20)),
+    ]:
+        line = text.format(own)
+        assert [(k, line[a:b]) for k, a, b in secrets.scan([line], automata)[0]] == [(kind, own)]
+    plain = [*(f"de {x} eauvi" for x in secrets.labelled(400, seed=81)["plain"]), "de 2123465659789240 eauvi", "bekeittzchpfbeen", "3f2504e0-4f89-11d3-9a0c-0305e82c3301"]
+    added = [s for own in secrets.scan(plain, automata) for s in own if s[0] not in secrets.BASE_KINDS]
+    found = wanted = 0
+    for kind, examples in secrets.labelled(60, seed=82).items():
+        if kind != "plain":
+            for t, own in zip(examples, secrets.scan([f"de {x} eauvi" for x in examples], automata), strict=True):
+                wanted += 1
+                found += any(k == kind and b - a >= len(t.rstrip("-_")) for k, a, b in own)
+    assert found / wanted >= 0.95 and found / (found + len(added)) >= 0.95
+
+
 def test_merging_finds_a_loop():
     examples = ["x" + "ab"[i % 2] * (i % 9 + 1) + "1" for i in range(400)]
 
@@ -596,7 +618,13 @@ def test_spans_lie_in_the_original():
     assert n == 6 and [text[a:b] for a, b in decontam.original_spans(text, ranges)] == ["ALPHA,beta (Gamma) Delta"] and items == {1, 2}
 
 
-def test_a_large_benchmark_is_refused(spark):
-    docs = spark.createDataFrame([(1, "x")], "doc_id bigint, text string")
-    with pytest.raises(ValueError, match="blocks"):
-        decontam.find_contamination(docs, spark.createDataFrame([(1, "y" * 100)], "item_id bigint, text string"), max_bytes=50)
+def test_a_large_benchmark_is_scanned_in_blocks(spark):
+    """Blocks give what one automaton gives, ranges that meet over several blocks included."""
+    docs, items = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
+    items = items.limit(12)
+    size = sum(len(r.text.encode()) for r in items.collect())
+    docs = docs.limit(80).unionByName(docs.limit(1).withColumn("text", F.lit(" and ".join(r.text for r in items.collect()))).withColumn("doc_id", F.lit(-1).cast("bigint")))
+    one = sorted(map(str, decontam.find_contamination(docs, items).collect()))
+    assert sorted(map(str, decontam.find_contamination(docs, items, max_bytes=size // 2).collect())) == one
+    kept = sorted(r.doc_id for r in decontam.drop_contaminated(docs, items).collect())
+    assert sorted(r.doc_id for r in decontam.drop_contaminated(docs, items, max_bytes=size // 2).collect()) == kept and -1 not in kept
