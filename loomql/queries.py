@@ -168,8 +168,13 @@ SAID: dict[str, tuple[str, list[str]]] = {
 
 
 def _folder(spark: SparkSession) -> str:
-    """A fresh warehouse in the folder that all executors share; a temporary one where none is named."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="warehouse-")
+    """A fresh warehouse in the folder that all executors share; a temporary one where all tasks are in this process."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="warehouse-")
     return f"{base.rstrip('/')}/warehouse-{uuid.uuid4().hex}"
 
 
