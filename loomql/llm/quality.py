@@ -5,6 +5,10 @@ vote pattern (at most ``3 ** len(RULES)`` patterns whatever the number of rows,
 bounded), expectation-maximisation on those counts estimates the share of good texts and each rule's accuracy on good and
 on bad texts, and the posterior is then a sum of log odds over votes: one column expression.
 
+Votes alone don't tell a rule that finds a kind of junk from one that is often wrong, where no other rule agrees or
+objects. What does is a prior on accuracies, which gives way to the counts, and labels of some rows, where there are any:
+all of them are counted by pattern, so they are bounded as the patterns are.
+
 Counts are made inside the row. Windows of eight words are compared as 64-bit hashes within one text; nothing is
 exploded or shuffled but the pattern counts.
 """
@@ -25,8 +29,12 @@ MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 #: Rows added to every count of votes in the estimates, so that no rule is ever certain.
 SMOOTH = 0.5
-ANCHOR = 0.9
-FALSE_ALARM = 0.01
+#: What a rule is thought to vote before any count: on good texts, on its own kind of junk, on other junk.
+ON_GOOD, ON_OWN, ON_OTHER = {-1: 0.002, 0: 0.098, 1: 0.9}, {-1: 0.9, 0: 0.05, 1: 0.05}, {-1: 0.1, 0: 0.1, 1: 0.8}
+#: The weight of the last two beside the counts (the same for every number of rows), and how many rows labelled good would
+#: weigh as much as the first.
+PRIOR, GOOD_ROWS = 0.3, 100
+FIRST_GOOD = 0.8
 
 
 def _let(value: Column, body) -> Column:
@@ -106,55 +114,82 @@ RULES = ("symbols", "shouting", "capitals", "repeats", "lines", "variety", "lett
 VOTES = (-1, 0, 1)
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200) -> list[tuple[float, list[dict[int, float]]]]:
-    """Classes as (share, per rule how often it casts each vote), the good one first, by EM on pattern counts.
+def fit(patterns: list[tuple[tuple[int, ...], int | None, int]], rounds: int = 200) -> list[tuple[float, list[dict[int, float]]]]:
+    """Classes as (share, per rule how often it casts each vote), the good one first, by EM on counts of (votes, label).
 
     Junk comes in kinds, and a rule that knows one kind has nothing to say on the others; one class for all junk would let
-    the silence of the other rules outvote it. So there is one class per rule besides the good one, anchored: in its own
-    class a rule votes bad at least ``ANCHOR`` of the time, in the good class at most ``FALSE_ALARM``; all other accuracies
-    are free, abstentions being an outcome like the others. No rows: every class gets the same share.
+    the silence of the other rules outvote it. So there is one class per rule besides the good one. Rows labelled 1 are of
+    the good class, rows labelled 0 of any other, and those without a label of any. No accuracy has a bound: on junk it is
+    what the class's rows say, drawn by ``PRIOR`` to what is thought of the rule. How often a rule blames good rows is told
+    by rows labelled good and what is thought of the rule, as rows without a label can't tell it; how its other votes divide
+    is told by all. No rows: every class keeps its first share.
     """
     classes = len(RULES) + 1
-    shares, rates = [1 / classes] * classes, [[dict.fromkeys(VOTES, 1 / 3) for _ in RULES] for _ in range(classes)]
-    total = sum(n for _, n in patterns)
-    if not total:
-        return list(zip(shares, rates, strict=True))
-    post = []
-    for v, _ in patterns:
-        blamed = [k + 1 for k, x in enumerate(v) if x < 0]
-        post.append([(0.9 / len(blamed) if c in blamed else 0.1 * (c == 0)) if blamed else float(c == 0) for c in range(classes)])
-    for _ in range(rounds):
+    thought = [[ON_GOOD if c == 0 else ON_OWN if c == r + 1 else ON_OTHER for r in range(len(RULES))] for c in range(classes)]
+    shares, rates = [FIRST_GOOD] + [(1 - FIRST_GOOD) / len(RULES)] * len(RULES), thought
+    blamed, sure = [GOOD_ROWS * ON_GOOD[-1]] * len(RULES), float(GOOD_ROWS)
+    for votes, label, n in patterns:
+        if label == 1:
+            blamed, sure = [b + n * (v < 0) for b, v in zip(blamed, votes, strict=True)], sure + n
+    total = sum(n for *_, n in patterns)
+    for _ in range(rounds if total else 0):
         before = shares
-        weights = [[p[c] * n for p, (_, n) in zip(post, patterns, strict=True)] for c in range(classes)]
+        weights: list[list[float]] = [[] for _ in range(classes)]
+        for votes, label, n in patterns:
+            own = posterior(votes, shares, rates, label)
+            for c in range(classes):
+                weights[c].append(own[c] * n)
         sums = [math.fsum(w) for w in weights]
-        shares = [(x + SMOOTH) / (total + classes * SMOOTH) for x in sums]
+        shares, rates = [(x + SMOOTH) / (total + classes * SMOOTH) for x in sums], []
         for c, weight in enumerate(weights):
-            for r in range(len(RULES)):
-                cast = dict.fromkeys(VOTES, SMOOTH)
-                for w, (v, _) in zip(weight, patterns, strict=True):
-                    cast[v[r]] += w
-                rate = {v: x / (sums[c] + 3 * SMOOTH) for v, x in cast.items()}
-                limit = min(rate[-1], FALSE_ALARM) if c == 0 else max(rate[-1], ANCHOR) if c == r + 1 else rate[-1]
-                rates[c][r] = {v: limit if v < 0 else x * (1 - limit) / (1 - rate[-1]) for v, x in rate.items()}
-        post = [posterior(v, shares, rates) for v, _ in patterns]
+            cast = [dict.fromkeys(VOTES, SMOOTH) for _ in RULES]
+            for w, (votes, _, _) in zip(weight, patterns, strict=True):
+                for r, v in enumerate(votes):
+                    cast[r][v] += w
+            if c == 0:
+                own = [{-1: b / sure} | {v: (1 - b / sure) * x[v] / (x[0] + x[1]) for v in (0, 1)} for b, x in zip(blamed, cast, strict=True)]
+            else:
+                own = [{v: (x / (sums[c] + 3 * SMOOTH) + PRIOR * thought[c][r][v]) / (1 + PRIOR) for v, x in one.items()} for r, one in enumerate(cast)]
+            rates.append(own)
         if max(abs(x - y) for x, y in zip(shares, before, strict=True)) < 1e-10:
             break
     return list(zip(shares, rates, strict=True))
 
 
-def posterior(votes: tuple[int, ...], shares: list[float], rates: list[list[dict[int, float]]]) -> list[float]:
+def posterior(votes: tuple[int, ...], shares: list[float], rates: list[list[dict[int, float]]], label: int | None = None) -> list[float]:
+    """How likely each class is for votes; a label leaves the good class alone (1) or all others (0)."""
     logs = [math.log(s) + math.fsum(math.log(r[v]) for v, r in zip(votes, rate, strict=True)) for s, rate in zip(shares, rates, strict=True)]
-    top = max(logs)
-    each = [math.exp(x - top) for x in logs]
+    open_to = range(len(logs)) if label is None else range(1) if label else range(1, len(logs))
+    top = max(logs[c] for c in open_to)
+    each = [math.exp(x - top) if c in open_to else 0.0 for c, x in enumerate(logs)]
     return [x / math.fsum(each) for x in each]
 
 
-def score(docs: DataFrame, *, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def counted_patterns(voted: DataFrame, votes: str, labels: DataFrame | None, id_col: str, label_col: str) -> list[tuple[tuple[int, ...], int | None, int]]:
+    """(votes, label, rows) of all rows. Ids without a label, with a null one, or with both labels count as unlabelled.
+
+    All rows are counted where they are read; only ids and votes of non-null ids meet the labels.
+    """
+    count = F.count(F.lit(1)).alias("n")
+    found = {(tuple(r[0]), None): r[1] for r in voted.groupBy(votes).agg(count).collect()}
+    if labels is not None:
+        known = labels.select(F.col(id_col).alias("id"), (F.col(label_col) > 0).cast("int").alias("label")).where("id is not null and label is not null")
+        known = known.groupBy("id").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other").drop("other")
+        rows = voted.select(F.col(f"`{id_col}`").alias("id"), F.col(votes).alias("votes")).where("id is not null")
+        for pattern, label, n in rows.join(known, "id").groupBy("votes", "label").agg(count).collect():
+            found[tuple(pattern), label] = n
+            found[tuple(pattern), None] -= n
+    return sorted(((v, label, n) for (v, label), n in found.items() if n), key=lambda x: (x[0], -1 if x[1] is None else x[1]))
+
+
+def score(docs: DataFrame, labels: DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (all by default), a struct ``q`` of counts, ``votes``, ``base_failed``, ``posterior``, ``kept``.
 
     The five names may get a number where ``docs`` has them already; they are always the last five columns. Every row is
     returned, repeated rows too. Null and empty texts have counts of zero and fail the base rule; an empty table gives an
-    empty result. Counts are staged once in the shared folder, so that texts are read a single time.
+    empty result. Very long texts are counted whole; a posterior of exactly one half keeps. Counts are staged once in the
+    shared folder, so that texts are read a single time. ``labels`` (id_col, label_col: 1 good, 0 bad) may name some of the
+    rows; they help the estimates only, and no row's verdict is its own label. ``keep`` must hold id_col then.
     """
     counted = with_counts(docs, text_col)
     q = counted.columns[-1]
@@ -163,9 +198,8 @@ def score(docs: DataFrame, *, text_col: str = "text", keep: list[str] | None = N
     rules = _rules(q)
     voted = counted.select(*columns, F.col(q), F.array(*(rules[r] for r in RULES)).alias(votes_name))
     voted = common.staged(voted, f"{common.shared_dir(docs.sparkSession)}/quality")
-    patterns = [(tuple(r[0]), r[1]) for r in voted.groupBy(votes_name).agg(F.count(F.lit(1)).alias("n")).collect()]
     likelihoods = []
-    for share, rate in fit(sorted(patterns)):
+    for share, rate in fit(counted_patterns(voted, votes_name, labels, id_col, label_col)):
         log = F.lit(math.log(share))
         for k, r in enumerate(rate):
             vote = F.col(votes_name)[k]
@@ -177,7 +211,7 @@ def score(docs: DataFrame, *, text_col: str = "text", keep: list[str] | None = N
     return voted.withColumn(base, failed).withColumn(probability, F.lit(1.0) / (F.lit(1.0) + against)).withColumn(kept, ~F.col(base) & (F.col(probability) >= 0.5))
 
 
-def keep_good(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that the method keeps, with their own columns."""
-    scored = score(docs, text_col=text_col)
+    scored = score(docs, labels, id_col=id_col, text_col=text_col)
     return scored.where(F.col(scored.columns[-1])).select(*(F.col(f"`{c}`") for c in docs.columns))

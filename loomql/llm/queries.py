@@ -64,7 +64,7 @@ def op6_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = quality.score(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    out = quality.score(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"), keep=["doc_id"])
     return out.select("doc_id", *(f"q.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), "base_failed", "kept", "posterior")
 
 
