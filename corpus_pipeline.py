@@ -43,8 +43,9 @@ def _stage(work: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callabl
 @_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose posterior quality is even or better and that pass the base rule. Null, empty and short texts fail
-    it; ties at even odds are kept; equal texts get equal verdicts, whatever their id."""
-    return quality.keep_good(docs)
+    it; ties at even odds are kept; equal texts get equal verdicts, whatever their id. ``labels`` help the estimates where
+    the folder has them."""
+    return quality.keep_good(docs, common.table_or_none(spark, sf_dir, "labels"))
 
 
 @_stage
