@@ -5,8 +5,8 @@ span is without one) are covered by overlapping windows; each window is decoded
 over the whole text: a character's tag comes from the window in whose middle it lies most, and spans are read from the
 joined tags, so one that crosses a window's edge is found once and whole.
 
-Four plain patterns (``email``, ``ip``, ``card``, ``phone``) are always reported; spans of the network are added where they
-overlap none of those.
+Four plain patterns (``email``, ``ip``, ``card``, ``phone``) are always reported; spans of the network, which knows ``ssn``
+too, are added where they overlap none of those.
 """
 
 from __future__ import annotations
@@ -23,8 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
+#: All kinds that the network tags: the patterns have none for the last.
+TAGGED = (*KINDS, "ssn")
 #: Labelled lines to train on, passes over them, and the network's width: these bound training, whatever the corpus.
-LINES, ROUNDS, HIDDEN = 720, 18, 16
+LINES, ROUNDS, HIDDEN = 1200, 16, 16
 SEED = 20240603
 WINDOW, STRIDE, MARGIN = 96, 48, 24
 
@@ -37,12 +39,16 @@ _DIGIT = re.compile("[0-9]")
 _MARK_RUN = re.compile("[0-9@]+")
 
 #: Tags: 0 is outside; 2k + 1 begins and 2k + 2 continues a span of kind k.
-TAGS = 2 * len(KINDS) + 1
-#: Characters by class: 0 other, 1 lower case, 2 upper case, 3 digit, 4 blank, 5 line feed, then these.
+TAGS = 2 * len(TAGGED) + 1
+#: What the network is fed: each ASCII character is itself, others are hashed to the last ``OTHERS`` inputs.
+OTHERS = 32
+INPUTS = 128 + OTHERS
+#: An input's weights are its own and those of its class, so that a character that no training line has is not unknown:
+#: 0 other, 1 letters but upper-case ASCII, 2 upper case, 3 digit, 4 blank, 5 line feed, then these.
 _MARKS = "@.-+()_%:,/"
 CLASSES = 6 + len(_MARKS)
-_CLASS = np.zeros(128, np.int64)
-_CLASS[97:123], _CLASS[65:91], _CLASS[48:58], _CLASS[[9, 32]], _CLASS[[10, 13]] = 1, 2, 3, 4, 5
+_CLASS = np.zeros(INPUTS, np.int64)
+_CLASS[97:123], _CLASS[65:91], _CLASS[48:58], _CLASS[[9, 32]], _CLASS[[10, 13]], _CLASS[128:] = 1, 2, 3, 4, 5, 1
 _CLASS[[ord(c) for c in _MARKS]] = np.arange(6, CLASSES)
 
 
@@ -80,7 +86,7 @@ def labelled(count: int = LINES, seed: int = SEED) -> list[tuple[str, list[tuple
     syllables = ["an", "er", "tion", "the", "on", "re", "ing", "ou", "ed", "ha", "ver", "gen", "que", "los", "st", "le", "wh", "ch", "ung", "é", "ñ", "ö"]
     word = lambda: "".join(draw.choices(syllables, k=draw.randint(1, 4)))
     number = lambda n: "".join(draw.choices("0123456789", k=n))
-    host = lambda: ".".join(["".join(draw.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=draw.randint(2, 9))) for _ in range(draw.randint(1, 2))] + [draw.choice(["com", "org", "net", "de"])])
+    host = lambda: draw.choice(["localhost", "".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=draw.randint(4, 9)))]) if draw.random() < 0.15 else ".".join(["".join(draw.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=draw.randint(2, 9))) for _ in range(draw.randint(1, 2))] + [draw.choice(["com", "org", "net", "de"])])
 
     def card() -> str:
         own = number(draw.choice([14, 15, 15, 15]))
@@ -92,15 +98,16 @@ def labelled(count: int = LINES, seed: int = SEED) -> list[tuple[str, list[tuple
         "ip": lambda: ".".join(str(draw.randint(0, 255)) for _ in range(4)),
         "card": card,
         "phone": lambda: draw.choice([f"+{draw.randint(1, 99)} {number(3)} {number(7)}", f"+{draw.randint(1, 99)}-{number(3)}-{number(3)}-{number(4)}", f"({number(3)}) {number(3)}-{number(4)}", f"{number(3)}-{number(3)}-{number(4)}", f"+{draw.randint(1, 9)} ({number(3)}) {number(3)} {number(4)}", f"0{number(2)} {number(7)}"]),
+        "ssn": lambda: f"{number(3)}-{number(2)}-{number(4)}",
     }
-    other = [lambda: number(draw.randint(1, 6)), lambda: f"{draw.randint(1, 99)}.{number(2)}", lambda: f"20{number(2)}-{number(2)}-{number(2)}", lambda: f"{number(2)}:{number(2)}", lambda: f"v{draw.randint(0, 9)}.{draw.randint(0, 20)}.{draw.randint(0, 9)}", lambda: f"{draw.randint(1, 100)}%", lambda: "".join(draw.choices("0123456789abcdef", k=32)), lambda: "@" + word(), lambda: number(24), lambda: f"{number(3)}-{number(2)}-{number(4)}", lambda: number(16)]
+    other = [lambda: number(draw.randint(1, 6)), lambda: f"{draw.randint(1, 99)}.{number(2)}", lambda: f"20{number(2)}-{number(2)}-{number(2)}", lambda: f"{number(2)}:{number(2)}", lambda: f"v{draw.randint(0, 9)}.{draw.randint(0, 20)}.{draw.randint(0, 9)}", lambda: f"{draw.randint(1, 100)}%", lambda: "".join(draw.choices("0123456789abcdef", k=32)), lambda: "@" + word(), lambda: number(24), lambda: number(16)]
     out = []
     for _ in range(count):
         line, spans = "", []
         while len(line) < WINDOW - 44:
             pick = draw.random()
             if pick < 0.16:
-                kind = draw.choice(KINDS)
+                kind = draw.choice(TAGGED)
                 own = make[kind]()
                 spans.append((kind, len(line), len(line) + len(own)))
             else:
@@ -111,18 +118,18 @@ def labelled(count: int = LINES, seed: int = SEED) -> list[tuple[str, list[tuple
 
 
 def encode(texts: list[str], width: int = WINDOW) -> np.ndarray:
-    """Classes of the characters of texts, rows filled up with line feeds."""
-    out = np.full((len(texts), width), 5, np.int64)
+    """The network's inputs for the characters of texts, rows filled up with line feeds."""
+    out = np.full((len(texts), width), 10, np.int64)
     for i, t in enumerate(texts):
         c = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
-        out[i, : len(c)] = np.where(c < 128, _CLASS[np.minimum(c, 127)], 1)
+        out[i, : len(c)] = np.where(c < 128, c, 128 + c % OTHERS)
     return out
 
 
 def tags_of(spans: list[tuple[str, int, int]], width: int = WINDOW) -> np.ndarray:
     out = np.zeros(width, np.int64)
     for kind, a, b in spans:
-        k = 2 * KINDS.index(kind)
+        k = 2 * TAGGED.index(kind)
         out[a:b], out[a] = k + 2, k + 1
     return out
 
@@ -132,27 +139,28 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class Tagger:
-    """Two LSTMs (one from each end) over character classes, a linear layer to tag scores, and CRF transitions."""
+    """Two LSTMs (one from each end) over characters, a linear layer to tag scores, and CRF transitions."""
 
     def __init__(self, seed: int = SEED, hidden: int = HIDDEN):
         draw = np.random.default_rng(seed)
         self.hidden = hidden
         own = {}
         for side in "fb":
-            own[f"x{side}"] = draw.normal(0, 0.3, (CLASSES, 4 * hidden))
+            own[f"c{side}"] = draw.normal(0, 0.3, (CLASSES, 4 * hidden))
+            own[f"x{side}"] = np.zeros((INPUTS, 4 * hidden))
             own[f"h{side}"] = draw.normal(0, 1 / np.sqrt(hidden), (hidden, 4 * hidden))
             own[f"o{side}"] = draw.normal(0, 0.3, (hidden, TAGS))
         own["bias"], own["moves"], own["start"] = np.zeros(TAGS), draw.normal(0, 0.1, (TAGS, TAGS)), np.zeros(TAGS)
         self.own = {k: v.astype(np.float32) for k, v in own.items()}
         for side in "fb":
-            self.own[f"x{side}"][:, hidden : 2 * hidden] += 1  # cells remember at first
+            self.own[f"c{side}"][:, hidden : 2 * hidden] += 1  # cells remember at first
 
     def _side(self, side: str, x: np.ndarray) -> tuple[np.ndarray, list]:
-        """Hidden states (time, row, unit) of one LSTM over classes (row, time), and what its gradient needs."""
+        """Hidden states (time, row, unit) of one LSTM over inputs (row, time), and what its gradient needs."""
         n, steps, u = len(x), x.shape[1], self.hidden
         h, c = np.zeros((n, u), np.float32), np.zeros((n, u), np.float32)
         out, kept = np.empty((steps, n, u), np.float32), []
-        into, again = self.own[f"x{side}"], self.own[f"h{side}"]
+        into, again = self.own[f"x{side}"] + self.own[f"c{side}"][_CLASS], self.own[f"h{side}"]
         for t in range(steps) if side == "f" else range(steps - 1, -1, -1):
             z = into[x[:, t]] + h @ again
             gates = _sigmoid(z[:, : 3 * u])
@@ -228,6 +236,7 @@ class Tagger:
                 np.add.at(grad[f"x{side}"], x[:, t], dz)
                 grad[f"h{side}"] += h_before.T @ dz
                 dh, dc = dz @ own[f"h{side}"].T, dc * f
+            np.add.at(grad[f"c{side}"], _CLASS, grad[f"x{side}"])
         return float((total - right).mean()), grad
 
     def fit(self, lines: list[tuple[str, list[tuple[str, int, int]]]], rounds: int = ROUNDS, batch: int = 32, rate: float = 0.02, seed: int = SEED) -> list[float]:
@@ -289,7 +298,7 @@ def spans_of(tags: np.ndarray, start: int) -> list[tuple[str, int, int]]:
     for i, t in enumerate([*tags.tolist(), 0]):
         own = (t + 1) // 2
         if kind and (own != kind or t % 2):
-            found.append((KINDS[kind - 1], start + a, start + i))
+            found.append((TAGGED[kind - 1], start + a, start + i))
             kind = 0
         if own and not kind:
             kind, a = own, i
@@ -319,7 +328,7 @@ def _sound(kind: str, own: str) -> bool:
     n = len(_digits(own))
     parts = own.split(".")
     address = len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts)
-    return {"email": "@" in own[1:-1], "ip": address, "card": 12 <= n <= 19 and luhn(_digits(own)), "phone": 7 <= n <= 15}[kind]
+    return {"email": "@" in own[1:-1], "ip": address, "card": 12 <= n <= 19 and luhn(_digits(own)), "phone": 7 <= n <= 15, "ssn": n == 9 and [len(p) for p in own.split("-")] == [3, 2, 4]}[kind]
 
 
 def scan(texts: list[str], tagger: Tagger, rows: int = 4096) -> list[tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]]:
@@ -342,7 +351,7 @@ def scan(texts: list[str], tagger: Tagger, rows: int = 4096) -> list[tuple[list[
                 if a < b and _sound(kind, text[a:b]) and all(b <= p[1] or a >= p[2] for p in plain):
                     added.append((kind, a, b))
             at += len(own)
-        out.append((plain, sorted(plain + added, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))))
+        out.append((plain, sorted(plain + added, key=lambda s: (s[1], TAGGED.index(s[0]), s[2]))))
     return out
 
 
