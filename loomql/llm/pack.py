@@ -39,6 +39,34 @@ REMEMBERED = 800_000
 _UNUSUAL = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏ -  -⁯　﻿]")
 _PLAIN = re.compile("([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-įı-ňŊ-ž]+)([.,;:!?]*)")
 
+#: The settings of a vocabulary file whose plain words are merged here. Texts go to the library with others.
+_ASSUMED = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+_ASSUMED_MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>", "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+
+
+def is_assumed(file: dict) -> bool:
+    """Whether ``Merges`` gives the library's ids of plain words: the settings are those above, every merge makes an id of
+    its own from letters or from what earlier ones made, and no added token lies within a plain word."""
+    model = file["model"]
+    if any(file.get(k) != v for k, v in _ASSUMED.items()) or any(model.get(k) != v for k, v in _ASSUMED_MODEL.items()) or len(model["vocab"]) > 1 << 16:
+        return False
+    letters, suffix = _byte_letters(), model["end_of_word_suffix"]
+    known = {*letters, *(c + suffix for c in letters)}
+    for a, b in (m.split(" ") if isinstance(m, str) else m for m in model["merges"]):
+        if a not in known or b not in known or a + b in known:
+            return False
+        known.add(a + b)
+    return known <= model["vocab"].keys() and not any(_PLAIN.fullmatch("a" + t["content"]) for t in file["added_tokens"])
+
 
 class Merges:
     """Byte-pair merges of many words at once, in numpy arrays, by a vocabulary file's ranks.
@@ -106,23 +134,26 @@ def _byte_letters() -> list[str]:
 class Encoder:
     """Ids of texts by a tokenizers file, with remembered words.
 
-    The vocabulary drops white space and never joins across it, so a text's ids are those of its parts between white
-    space, one after the other. Plain words are merged here, many at once; everything else is left to the library. Ids
-    are two bytes each, little-endian.
+    A vocabulary with the settings assumed drops white space and never joins across it, so a text's ids are those of its
+    parts between white space, one after the other. Plain words are merged here, many at once; everything else, and whole
+    texts where the file has other settings, is left to the library. Ids are little-endian, of two bytes each if all ids of
+    the file fit, else of four.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        if self.tokenizer.get_vocab_size() > 1 << 16:
-            raise ValueError("ids must fit in 16 bits")
-        self.merges = Merges(json.loads(self.tokenizer.to_str())["model"])
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.kind = np.dtype("<u2" if max(self.tokenizer.get_vocab().values(), default=0) < 1 << 16 else "<u4")
+        file = json.loads(self.tokenizer.to_str())
+        self.merges = Merges(file["model"]) if is_assumed(file) else None
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
     def _learn(self, parts: set[str]) -> None:
         """Makes all these parts known."""
@@ -153,6 +184,8 @@ class Encoder:
             new[p] = new[word] + new[tail] if tail else new[word]
 
     def encode(self, texts: list[str], block: int = 512) -> list[bytes]:
+        if self.merges is None:
+            return [self.whole(t) for t in texts]
         out: list[bytes] = []
         for at in range(0, len(texts), block):
             if len(self.new) >= REMEMBERED // 2:
@@ -202,7 +235,7 @@ def hilbert_keys(points: np.ndarray, bits: int = CURVE_BITS) -> np.ndarray:
 
 @lru_cache(maxsize=1)
 def _projection() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bucket and sign of each id, and the projection of the buckets."""
+    """Bucket and sign of an id's low 16 bits, and the projection of the buckets."""
     draw = np.random.default_rng(SEED)
     return draw.integers(0, DIMENSIONS, 1 << 16), draw.choice([-1.0, 1.0], 1 << 16), draw.standard_normal((DIMENSIONS, CURVE_DIMENSIONS))
 
@@ -212,7 +245,8 @@ def curve_points(id_lists: list[np.ndarray]) -> np.ndarray:
     vectors = np.zeros((len(id_lists), DIMENSIONS))
     for i, ids in enumerate(id_lists):
         if len(ids):
-            vectors[i] = np.bincount(bucket[ids], sign[ids], DIMENSIONS)
+            low = ids & 0xFFFF
+            vectors[i] = np.bincount(bucket[low], sign[low], DIMENSIONS)
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
     # A direction's projection is near normal with deviation one; three deviations cover the cube.
     return np.clip(((vectors @ project + 3) / 6 * (1 << CURVE_BITS)).astype(np.int64), 0, (1 << CURVE_BITS) - 1)
@@ -233,22 +267,21 @@ def pack(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col:
     """One row per piece: id_col, start, length, doc_tokens, sequence_id, offset, ids (binary, 32 bits each, little-endian).
 
     Every row of ``docs`` is a document, repeated ones too; a null or empty text is its end id alone. An empty table gives
-    no piece. ``vocabulary`` is the path of a tokenizers file that executors can read. Other columns are not looked at.
+    no piece. ``vocabulary`` is the path of a tokenizers file that executors can read, of any settings. Other columns are not looked at.
     """
     spark = docs.sparkSession
     path = common.shared_dir(spark)
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = source.schema["id"].dataType.simpleString()
-    end = np.array([end_id], np.uint16).tobytes()
-
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(vocabulary)
+        size, end = own.kind.itemsize, np.array([end_id], own.kind).tobytes()
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
             ids = own.encode([t or "" for t in batch.column(1).to_pylist()])
-            keys = hilbert_keys(curve_points([np.frombuffer(x, np.uint16) for x in ids]))
+            keys = hilbert_keys(curve_points([np.frombuffer(x, own.kind) for x in ids]))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(range(row, row + len(ids)), pa.int64()), batch.column(0), pa.array([len(x) // 2 + 1 for x in ids], pa.int64()), pa.array(keys, pa.int64()), pa.array([x + end for x in ids], pa.binary())],
+                [pa.array(range(row, row + len(ids)), pa.int64()), batch.column(0), pa.array([len(x) // size + 1 for x in ids], pa.int64()), pa.array(keys, pa.int64()), pa.array([x + end for x in ids], pa.binary())],
                 names=["row", "id", "n", "key", "ids"],
             )
             row += len(ids)
@@ -270,15 +303,15 @@ def pack(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col:
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, blobs = [], []
-            for i, (place, ids) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                whole = np.frombuffer(ids, np.uint16).astype("<u4").tobytes()
+            for i, (place, ids, count) in enumerate(zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)):
+                whole = np.frombuffer(ids, f"<u{len(ids) // count}").astype("<u4").tobytes()
                 for start, n, sequence, offset in cut(place, len(whole) // 4, length):
                     rows.append((i, start, n, len(whole) // 4, sequence, offset))
                     blobs.append(whole[4 * start : 4 * (start + n)])
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(columns[0], pa.int64())), *(pa.array(c, pa.int64()) for c in columns[1:]), pa.array(blobs, pa.binary())], names=["id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
 
-    out = made.join(places, "row").select("id", "place", "ids").mapInArrow(pieces, f"id {kind}, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary")
+    out = made.join(places, "row").select("id", "place", "ids", "n").mapInArrow(pieces, f"id {kind}, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary")
     return out.withColumnRenamed("id", id_col)
 
 

@@ -241,6 +241,42 @@ def test_ids_are_the_librarys(texts):
     assert encoder.encode(own) == [encoder.whole(t) for t in own]  # from memory
 
 
+def test_files_of_other_settings_go_to_the_library(spark, texts):
+    import json
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    file = json.loads(open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read())
+    assert pack.is_assumed(file)
+    for part, name, value in [("normalizer", "type", "NFC"), ("model", "end_of_word_suffix", "@"), ("model", "merges", file["model"]["merges"][::-1])]:
+        assert not pack.is_assumed(file | {part: file[part] | {name: value}})
+    assert not pack.is_assumed(file | {"added_tokens": [{"content": "the"}]})
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    docs = spark.createDataFrame([(i, t) for i, t in texts.items() if i < 40], "doc_id bigint, text string")
+    found = {}
+    for r in pack.pack(docs, path, end_id=50256).collect():
+        found.setdefault(r.doc_id, []).append((r.start, bytes(r["ids"])))
+    for i, own in found.items():
+        assert b"".join(x for _, x in sorted(own)) == np.array([*library.encode(texts[i] or "", add_special_tokens=False).ids, 50256], "<u4").tobytes()
+    assert len(found) == docs.count()
+
+
+def test_wide_ids_take_four_bytes(spark, tmp_path):
+    import json
+
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    library = Tokenizer(models.WordLevel({f"w{i}": i for i in range(70_000)}, unk_token="w0"))
+    library.pre_tokenizer = pre_tokenizers.Whitespace()
+    (tmp_path / "wide.json").write_text(library.to_str())
+    assert not pack.is_assumed(json.loads(library.to_str()) | {"added_tokens": []})
+    docs = spark.createDataFrame([(1, "w69999 w5 w66000"), (2, None)], "doc_id bigint, text string")
+    found = {r.doc_id: np.frombuffer(r["ids"], "<u4").tolist() for r in pack.pack(docs, str(tmp_path / "wide.json")).collect()}
+    assert found == {1: [69999, 5, 66000, 2], 2: [2]}
+
+
 def test_op4_pieces_are_whole(spark, texts):
     import zlib
 
