@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,15 +35,18 @@ def check_rows(name: str, table: dict, rows: DataFrame) -> None:
                 raise RuntimeFault(text)
 
 
-def check_keys(name: str, table: dict, changed: DataFrame, others: DataFrame) -> None:
-    """UNIQUE and PRIMARY KEY: changed rows among themselves and against all others. NULLs are never equal."""
+def check_keys(name: str, table: dict, changed: DataFrame, others: Callable[[list[str]], DataFrame]) -> None:
+    """UNIQUE and PRIMARY KEY: changed rows among themselves and against all others. NULLs are never equal.
+
+    ``others(ids)`` are all other rows that may have the values of changed rows in these columns.
+    """
     keys = [([c], f"UNIQUE constraint failed: {name}.{c['name']}") for c in table["columns"] if c["unique"]]
     if table["primary_key"]:
         keys.append(([c for n in table["primary_key"] for c in table["columns"] if c["name"] == n], f"PRIMARY KEY constraint failed: {name}"))
     for columns, text in keys:
         ids = [c["id"] for c in columns]
         mine = changed.select(*ids).dropna()
-        found = mine.unionByName(others.select(*ids).join(mine, ids, "left_semi")).groupBy(*ids).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        found = mine.unionByName(others(ids).select(*ids).join(mine, ids, "left_semi")).groupBy(*ids).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         if not found.isEmpty():
             raise RuntimeFault(text)
 

@@ -1,7 +1,8 @@
 """Writing statements, as changes to a catalog that isn't committed yet.
 
 A change is found once, as a staged delta: the rows that change, their new and old values, and the part each lies in. Parts
-without such a row are kept as they are; the others are written again without them. Inserts only add a part.
+without such a row are kept as they are; the others are written again without them. Inserts only add parts. Parts come with
+the ranges of indexed columns and keys, so that statements open only those that may hold what they look for.
 """
 
 from __future__ import annotations
@@ -17,13 +18,17 @@ from ..errors import RuntimeFault, SemanticFault
 
 from ..functions.scalar import FLOAT, INT, NULL
 from ..plans import syntax as S
+from ..plans.bounds import Bounds, bounds
 from ..plans.compiler import Bound, Compiler, Relation, Scope
 from ..sources.catalog import SEEN, Catalog, checked_literal, parts_of
 from ..sources.store import PART, ROW_ID, STORED, stored_schema
 from . import constraints
 
-#: An insert that would leave more parts than this writes one part of them all.
-MOST_PARTS = 48
+#: A statement that finds this many parts of under SMALL bytes, and adds some, writes them again as one.
+MOST_SMALL = 48
+SMALL = 32 << 20
+#: Longer texts have no ranges.
+RANGE_TEXT = 64
 
 
 class Writer:
@@ -45,10 +50,52 @@ class Writer:
             table["snapshots"].append(own)
         self.dirty.add(name)
 
-    def _bound(self, compiler: Compiler, name: str, with_part: bool = True) -> tuple[DataFrame, Bound, DataFrame]:
+    def _write(self, name: str, frame: DataFrame) -> list[str]:
+        """New parts of a table, with their ranges."""
+        made = self.store.write(frame)
+        self.catalog.table(name)["files"].update(made)
+        self.measure(name, list(made))
+        return list(made)
+
+    def _packed(self, name: str, parts: list[str]) -> list[str]:
+        """The same rows in few parts: small ones are put together once there are many."""
+        table = self.catalog.table(name)
+        small = {p for p in parts if table["files"][p]["bytes"] < SMALL}
+        if len(small) < MOST_SMALL:
+            return parts
+        return [*(p for p in parts if p not in small), *self._write(name, self.catalog.read(table, sorted(small), table["columns"]).coalesce(1))]
+
+    def measure(self, name: str, parts: list[str] | None = None) -> None:
+        """Gives parts (by default all of every snapshot) the ranges they lack: of indexed columns, keys and automatic numbers."""
+        table = self.catalog.table(name)
+        wanted = {n for names in self.catalog.index_columns(name) for n in names}
+        columns = [c for c in table["columns"] if (c["name"] in wanted or c["auto"]) and c["type"] != "BOOL"]
+        parts = list(table["files"]) if parts is None else parts
+        parts = [p for p in parts if any(c["id"] not in table["files"][p].get("ranges", {}) for c in columns)]
+        if not columns or not parts:
+            return
+        rows = self.catalog.read(table, parts, columns, with_part=True)
+        ends = [f(c["id"]).alias(f"{kind}{c['id']}") for c in columns for kind, f in (("l", F.min), ("h", F.max))]
+        found = {r[PART]: r for r in rows.groupBy(PART).agg(*ends).collect()}
+        for p in parts:
+            ranges = table["files"][p].setdefault("ranges", {})
+            for c in columns:
+                ends = (found[p][f"l{c['id']}"], found[p][f"h{c['id']}"]) if p in found else (None, None)
+                if not any(isinstance(v, str) and len(v) > RANGE_TEXT or v != v for v in ends):
+                    ranges[c["id"]] = list(ends)
+
+    def _near(self, table: dict, parts: list[str], changed: DataFrame) -> tuple[int, int, Any]:
+        """(number of changed rows, their highest ordinal, and, for some key columns, the parts that may hold their values)."""
+        keys = [c for c in table["columns"] if (c["unique"] or c["name"] in table["primary_key"]) and c["type"] != "BOOL"]
+        found = changed.agg(F.count(F.lit(1)).alias("n"), F.max(ROW_ID).alias("last"), *(f(c["id"]).alias(f"{kind}{c['id']}") for c in keys for kind, f in (("l", F.min), ("h", F.max)))).first()
+        ends = {c["id"]: (found[f"l{c['id']}"], found[f"h{c['id']}"]) for c in keys}
+        ends = {i: e for i, e in ends.items() if e[0] is not None and not any(v != v for v in e)}
+        return found["n"], found["last"], lambda ids: self.catalog.holding(table, parts, {i: ends[i] for i in ids if i in ends}, table["columns"])
+
+    def _bound(self, compiler: Compiler, name: str, where: Bounds, with_part: bool = True) -> tuple[DataFrame, Bound, DataFrame]:
         """(rows with physical names, row id and part; the binding; the physical rows beside the bound names)."""
         table = self.catalog.table(name)
-        rows, columns = self.catalog.rows(table, with_part=with_part)
+        rows, columns = self.catalog.rows(table, with_part=with_part, where=where)
         number = f"s{next(compiler._numbers)}"
         bound = Bound(name, {c["name"]: (f"{number}_{c['id']}", SEEN[c["type"]]) for c in columns}, f"{number}_rid")
         beside = rows.select("*", *(F.col(c["id"]).alias(f"{number}_{c['id']}") for c in columns), F.col(ROW_ID).alias(f"{number}_rid"))
@@ -83,7 +130,7 @@ class Writer:
             if len(row) != len(targets):
                 raise SemanticFault(f"INSERT has {len(row)} value(s) but {len(targets)} target column(s)")
             made.append((*(checked_literal(v.value, t) for v, t in zip(row, targets, strict=True)), i))
-        return self.store.spark.createDataFrame(made, stored_schema(targets)).withColumnRenamed(ROW_ID, "nth")
+        return self.store.spark.createDataFrame(made, stored_schema(targets)).withColumnRenamed(ROW_ID, "nth").coalesce(1)
 
     def _from_query(self, s: S.Put, targets: list[dict]) -> DataFrame:
         found = self.compiler().fetch(s.query, None)
@@ -109,8 +156,7 @@ class Writer:
         for c in table["columns"]:
             kind = STORED[c["type"]]
             if c["auto"]:
-                highest = self.catalog.rows(table)[0].agg(F.coalesce(F.max(c["id"]), F.lit(0))).first()[0]
-                number = F.lit(max(highest, 0) + 1) + F.col("nth")
+                number = F.lit(self._highest(table, c) + 1) + F.col("nth")
                 out.append((F.coalesce(F.col(c["id"]), number) if c["id"] in given else number).cast(kind).alias(c["id"]))
             elif c["id"] in given:
                 out.append(F.col(c["id"]))
@@ -118,18 +164,21 @@ class Writer:
                 out.append(F.lit(c["default"]["value"] if c["default"] else None).cast(kind).alias(c["id"]))
         return self.store.staged(rows.select(*out, (F.lit(table["next_row"]) + F.col("nth")).cast("bigint").alias(ROW_ID)))
 
+    def _highest(self, table: dict, column: dict) -> int:
+        """The highest automatic number, or 0; read from rows only where a part has no range of it."""
+        ranges = [table["files"][p].get("ranges", {}).get(column["id"]) for p in parts_of(table)]
+        if None in ranges:
+            return max(self.catalog.rows(table)[0].agg(F.coalesce(F.max(column["id"]), F.lit(0))).first()[0], 0)
+        return max([0, *(high for _, high in ranges if high is not None)])
+
     def _insert(self, name: str, table: dict, rows: DataFrame) -> int:
-        n, last = rows.agg(F.count(F.lit(1)), F.max(ROW_ID)).first()
+        own, columns = parts_of(table), table["columns"]
+        n, last, near = self._near(table, own, rows)
         if not n:
             return 0
         constraints.check_rows(name, table, rows)
-        before, _ = self.catalog.rows(table)
-        constraints.check_keys(name, table, rows, before)
-        own = parts_of(table)
-        if len(own) >= MOST_PARTS:
-            self._set_parts(name, [self.store.write(before.unionByName(rows))])
-        else:
-            self._set_parts(name, [*own, self.store.write(rows)])
+        constraints.check_keys(name, table, rows, lambda ids: self.catalog.read(table, near(ids), columns))
+        self._set_parts(name, [*self._packed(name, own), *self._write(name, rows)])
         constraints.check_references(table, rows, self._values)
         table["next_row"] = max(table["next_row"], last + 1)
         return n
@@ -152,7 +201,8 @@ class Writer:
         whole = [k for k in times if None not in k]
         spark = self.store.spark
         asked = spark.createDataFrame([(*k, times[k]) for k in whole], ", ".join([f"k{i} {STORED[self.catalog.column(s.table, n)['type']].simpleString()}" for i, n in enumerate(keys)] + ["times bigint"]))
-        existing, _ = self.catalog.rows(table, with_part=True)
+        ends = {n: (min(v), max(v)) for n, *v in zip(keys, *whole, strict=True) if type(v[0]) is not bool} if whole else {}
+        existing, _ = self.catalog.rows(table, with_part=True, where=ends)
         on = [F.col(i) == F.col(f"k{n}") for n, i in enumerate(ids)]
         hits = self.store.staged(existing.join(F.broadcast(asked), on, "inner").drop(*(f"k{n}" for n in range(len(ids)))))
         there = {tuple(r) for r in hits.select(*ids).collect()}
@@ -163,7 +213,7 @@ class Writer:
                 fresh.append((*r, 0 if None in k else times[k] - 1))
                 seen.add(k)
         schema = ", ".join([f"{c['id']} {STORED[c['type']].simpleString()}" for c in table["columns"]] + [f"{ROW_ID} bigint", "times bigint"])
-        new = spark.createDataFrame(fresh, schema)
+        new = spark.createDataFrame(fresh, schema).coalesce(1)
         if s.conflict.changes is None:
             added = self.store.staged(new.drop("times"))
             return self._insert(s.table, table, added), added
@@ -199,7 +249,7 @@ class Writer:
     def modify(self, s: S.Modify) -> tuple[int, DataFrame]:
         table = self.catalog.table(s.table)
         compiler = self.compiler()
-        _, bound, beside = self._bound(compiler, s.table)
+        _, bound, beside = self._bound(compiler, s.table, bounds(s.when, s.table, s.source is None))
         scope = Scope([bound])
         if s.source is not None:
             frame, other = compiler.bind(s.source, None)
@@ -219,7 +269,7 @@ class Writer:
     def remove(self, s: S.Remove) -> tuple[int, DataFrame]:
         table = self.catalog.table(s.table)
         compiler = self.compiler()
-        _, bound, beside = self._bound(compiler, s.table)
+        _, bound, beside = self._bound(compiler, s.table, bounds(s.when, s.table, True))
         if s.when is not None:
             beside = beside.where(compiler.condition(s.when, Scope([bound])))
         delta = self.store.staged(beside.select(*(c["id"] for c in table["columns"]), ROW_ID, PART))
@@ -228,19 +278,19 @@ class Writer:
     def _rest(self, table: dict, delta: DataFrame) -> tuple[list[str], DataFrame]:
         """(parts without a row of the delta, the other rows of the other parts)."""
         touched = {r[0] for r in delta.select(PART).distinct().collect()}
-        rows = self.store.read([p for p in parts_of(table) if p in touched], stored_schema(table["columns"]))
+        rows = self.catalog.read(table, [p for p in parts_of(table) if p in touched], table["columns"])
         return [p for p in parts_of(table) if p not in touched], rows.join(delta.select(ROW_ID), ROW_ID, "left_anti")
 
     def _change(self, name: str, table: dict, delta: DataFrame) -> int:
-        n = delta.count()
+        new = delta.select(*(c["id"] for c in table["columns"]), ROW_ID)
+        kept, rest = self._rest(table, delta)
+        n, _, near = self._near(table, kept, new)
         if not n:
             return 0
-        new = delta.select(*(c["id"] for c in table["columns"]), ROW_ID)
         constraints.check_rows(name, table, new)
-        kept, rest = self._rest(table, delta)
-        others = self.store.read(kept, stored_schema(table["columns"])).unionByName(rest.select(*new.columns))
-        constraints.check_keys(name, table, new, others)
-        self._set_parts(name, [*kept, self.store.write(rest.select(*new.columns).unionByName(new))])
+        rest = rest.select(*new.columns)
+        constraints.check_keys(name, table, new, lambda ids: self.catalog.read(table, near(ids), table["columns"]).unionByName(rest))
+        self._set_parts(name, [*self._packed(name, kept), *self._write(name, rest.unionByName(new))])
         for child, column in self.catalog.children(name):
             key = self.catalog.column(name, column["reference"]["column"])["id"]
             pairs = delta.where(~F.col(f"old_{key}").eqNullSafe(F.col(key)) & F.col(f"old_{key}").isNotNull()).select(F.col(f"old_{key}").alias("v"), F.col(key).alias("to"))
@@ -254,7 +304,7 @@ class Writer:
             return 0
         kept, rest = self._rest(table, delta)
         rest = rest.select(*(c["id"] for c in table["columns"]), ROW_ID)
-        self._set_parts(name, kept if rest.isEmpty() else [*kept, self.store.write(rest)])
+        self._set_parts(name, kept if rest.isEmpty() else [*kept, *self._write(name, rest)])
         for child, column in self.catalog.children(name):
             key = self.catalog.column(name, column["reference"]["column"])["id"]
             gone = delta.select(F.col(key).alias("v")).dropna().distinct()

@@ -20,6 +20,7 @@ from ..functions import scalar
 from ..functions.scalar import BOOL, FLOAT, INT, NULL, TEXT, TIME
 from ..operators import grouping, joins, ordering, windows
 from . import syntax as S
+from .bounds import Bounds, bounds
 
 #: The hidden insert ordinal of the engine's own tables.
 ROW_ID = "__rid"
@@ -62,16 +63,17 @@ class Compiled:
 
 
 class Compiler:
-    """Compiles one statement. ``resolve(name, as_of)`` gives the relation of a name, or None."""
+    """Compiles one statement. ``resolve(name, as_of, bounds)`` gives the relation of a name, or None; rows beyond the bounds
+    of their columns may be missing in it."""
 
-    def __init__(self, resolve: Callable[[str, int | None], Relation | None]):
+    def __init__(self, resolve: Callable[..., Relation | None]):
         self.resolve = resolve
         self._numbers = count()
 
     # Names
 
-    def bind(self, source: S.Source, as_of: int | None) -> tuple[DataFrame, Bound]:
-        relation = self.resolve(source.table, as_of)
+    def bind(self, source: S.Source, as_of: int | None, where: Bounds | None = None) -> tuple[DataFrame, Bound]:
+        relation = self.resolve(source.table, as_of, where)
         if relation is None:
             raise SemanticFault(f"unknown table '{source.table}'")
         return self.bind_relation(relation, source.alias or source.table)
@@ -265,10 +267,11 @@ class Compiler:
         return self.finished(q, frame, [(i, *self.expression(i.value, scope)) for i in items], [(self.find(k.column, scope)[0], k.ascending) for k in q.sort], scope)
 
     def sources(self, q: S.Fetch, outer: Scope | None) -> tuple[DataFrame, Scope]:
-        frame, first = self.bind(q.source, q.source.as_of)
+        where = lambda s: bounds(q.when, s.alias or s.table, not q.links)
+        frame, first = self.bind(q.source, q.source.as_of, where(q.source))
         scope = Scope([first], outer)
         for link in q.links:
-            right, bound = self.bind(link.source, q.source.as_of)
+            right, bound = self.bind(link.source, q.source.as_of, where(link.source))
             if any(s.name == bound.name for s in scope.sources):
                 raise SemanticFault(f"table name '{bound.name}' is used twice; give it an alias")
             scope = Scope([*scope.sources, bound], outer)

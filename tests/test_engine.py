@@ -113,6 +113,59 @@ def test_a_change_leaves_other_parts_alone(run):
     assert run("FETCH v FROM t SORT BY id") == [(1,), (9,), (3,)]
 
 
+def _opened(run, text):
+    """The files that a query's scan lists."""
+    return len(run.engine.frame(text).inputFiles())
+
+
+def test_lookups_open_only_parts_that_may_hold_them(run):
+    run("BUILD RELATION t (id INT PRIMARY KEY, f FLOAT, s TEXT, note TEXT); BUILD INDEX i ON t (s); BUILD INDEX j ON t (f)")
+    for k in range(4):
+        run(f"PUT INTO t VALUES ({10 * k}, {k}.5, 'k{k}', 'a'), ({10 * k + 5}, NULL, 'k{k}x', 'b')")
+    for when, files in [
+        ("id = 15", 1), ("15 = id", 1), ("id > 10 AND id <= 20", 2), ("id BETWEEN 5 AND 10", 2), ("id IN (0, 15)", 2), ("id = 7", 0), ("id = 99", 0), ("id = 5 AND id = 15", 0), ("f < 1", 1), ("f >= 3.5", 1), ("s = 'k2x'", 1),
+        ("s > 'k2x'", 2), ("id = 15 OR id = 25", 4), ("NOT id = 15", 4), ("note = 'a'", 4), ("id = 15.0", 1), ("id + 0 = 15", 4),
+    ]:
+        assert _opened(run, f"FETCH id FROM t WHEN {when}") == files, when
+        want = run(f"FETCH id FROM t WHEN ({when}) = TRUE SORT BY id")  # not a conjunction: reads all
+        assert run(f"FETCH id FROM t WHEN {when} SORT BY id") == want, when
+    assert run("FETCH a.id, b.id FROM t a LEFT LINK t b ON a.id = b.id + 5 WHEN b.id = 10") == [(15, 10)]
+    assert run("FETCH a.id FROM t a LEFT LINK t b ON a.id = b.id + 1 WHEN b.id IS NULL AND a.id < 10 SORT BY a.id") == [(0,), (5,)]
+    before = run.engine.catalog.tables["t"]["snapshots"][-1]["parts"]
+    assert run("MODIFY t SET id = 16 WHEN id = 15") == "MODIFY 1"
+    after = run.engine.catalog.tables["t"]["snapshots"][-1]["parts"]
+    assert len(set(before) & set(after)) == 3
+    with pytest.raises(RuntimeFault, match="UNIQUE constraint failed: t.id"):
+        run("PUT INTO t VALUES (16, 0, '', '')")
+    assert run("PUT INTO t VALUES (25, 0, '', ''), (26, 0, '', '') ON CONFLICT (id) DO MODIFY SET note = 'c'") == "PUT 0 2"
+    assert run("FETCH id FROM t WHEN note = 'c'") == [(25,)] and run("FETCH COUNT(*) FROM t WHEN id = 26") == [(1,)]
+
+
+def test_an_index_measures_parts_that_are_there(run):
+    run("BUILD RELATION t (id INT, v INT); PUT INTO t VALUES (1, 1); PUT INTO t VALUES (2, NULL); RESHAPE RELATION t ADD w TEXT; PUT INTO t VALUES (3, 3, 'z')")
+    version = run.engine.version
+    assert _opened(run, "FETCH id FROM t WHEN v = 3") == 3
+    run("BUILD INDEX i ON t (v, w)")
+    assert run.engine.version == version and _opened(run, "FETCH id FROM t WHEN v = 3") == 1 and _opened(run, "FETCH id FROM t WHEN w = 'z'") == 1
+    assert run("FETCH id FROM t WHEN v IS NULL") == [(2,)] and run(f"FETCH id FROM t AS OF {version - 1} WHEN v = 1") == [(1,)]
+    run(f"PUT INTO t VALUES (4, 4, '{'z' * 99}')")
+    assert run(f"FETCH id FROM t WHEN w = '{'z' * 99}'") == [(4,)]
+
+
+def test_many_small_inserts_are_put_together(run, monkeypatch):
+    from loomql.operators import dml
+
+    monkeypatch.setattr(dml, "MOST_SMALL", 3)
+    run("BUILD RELATION t (id INT AUTO_INCREMENT, v INT)")
+    for k in range(6):
+        run(f"PUT INTO t (v) VALUES ({k})")
+    assert len(run.engine.catalog.tables["t"]["snapshots"][-1]["parts"]) <= 4
+    assert run("FETCH id, v FROM t SORT BY id") == [(k + 1, k) for k in range(6)]
+    assert run("FETCH id FROM t AS OF 2 SORT BY id") == [(1,), (2,)]
+    run.engine.collect_garbage()
+    assert run("FETCH COUNT(*) FROM t") == [(6,)]
+
+
 def test_a_new_session_finds_everything(run, spark):
     run("BUILD RELATION t (id INT AUTO_INCREMENT, d DATE, n FLOAT DEFAULT 2.5); PUT INTO t (d) VALUES ('2024-03-01'); BUILD VIEW v AS FETCH d FROM t WHEN d > '2024-01-01'; BUILD INDEX i ON t (id)")
     again = Engine(spark, run.engine._warehouse)
