@@ -34,7 +34,9 @@ CURVE_DIMENSIONS = 3
 CURVE_BITS = 12
 SEED = 20240601
 #: Words that a worker remembers; the older half is forgotten beyond it.
-REMEMBERED = 800_000
+REMEMBERED = 400_000
+#: Rows that a worker has in lists at once.
+SLICE = 512
 #: White space and separators on which libraries differ; a text with one is encoded as a whole.
 _UNUSUAL = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏ -  -⁯　﻿]")
 _PLAIN = re.compile("([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-įı-ňŊ-ž]+)([.,;:!?]*)")
@@ -55,7 +57,7 @@ _ASSUMED_MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing
 
 def is_assumed(file: dict) -> bool:
     """Whether ``Merges`` gives the library's ids of plain words: the settings are those above, every merge makes an id of
-    its own from letters or from what earlier ones made, and no added token lies within a plain word."""
+    its own from letters or from what earlier ones made, and no added token is without a "<"."""
     model = file["model"]
     if any(file.get(k) != v for k, v in _ASSUMED.items()) or any(model.get(k) != v for k, v in _ASSUMED_MODEL.items()) or len(model["vocab"]) > 1 << 16:
         return False
@@ -65,7 +67,7 @@ def is_assumed(file: dict) -> bool:
         if a not in known or b not in known or a + b in known:
             return False
         known.add(a + b)
-    return known <= model["vocab"].keys() and not any(_PLAIN.fullmatch("a" + t["content"]) for t in file["added_tokens"])
+    return known <= model["vocab"].keys() and all("<" in t["content"] for t in file["added_tokens"])
 
 
 class Merges:
@@ -191,8 +193,9 @@ class Encoder:
             if len(self.new) >= REMEMBERED // 2:
                 self.new, self.old = {}, self.new
             own = texts[at : at + block]
-            parts = [None if _UNUSUAL.search(t) else t.split() for t in own]
-            if missing := set().union(*(p for p in parts if p)) - self.new.keys():
+            # The library lower-cases all but added tokens, which hold a "<" in the files assumed.
+            parts = [None if _UNUSUAL.search(t) else t.lower().split() if t.isascii() and "<" not in t else t.split() for t in own]
+            if missing := set().union(*(p for p in parts if p)).difference(self.new):
                 self._learn(missing)
             known = self.new.__getitem__
             out += [self.whole(t) if p is None else b"".join(map(known, p)) for t, p in zip(own, parts, strict=True)]
@@ -263,6 +266,12 @@ def cut(place: int, count: int, length: int) -> list[tuple[int, int, int, int]]:
     return pieces
 
 
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
 def pack(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
     """One row per piece: id_col, start, length, doc_tokens, sequence_id, offset, ids (binary, 32 bits each, little-endian).
 
@@ -273,11 +282,12 @@ def pack(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col:
     path = common.shared_dir(spark)
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = source.schema["id"].dataType.simpleString()
+
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(vocabulary)
         size, end = own.kind.itemsize, np.array([end_id], own.kind).tobytes()
         row = TaskContext.get().partitionId() << 33
-        for batch in batches:
+        for batch in _sliced(batches):
             ids = own.encode([t or "" for t in batch.column(1).to_pylist()])
             keys = hilbert_keys(curve_points([np.frombuffer(x, own.kind) for x in ids]))
             yield pa.RecordBatch.from_arrays(
@@ -301,7 +311,7 @@ def pack(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col:
     places = sorted_rows.select("row", "part", F.coalesce(F.sum("n").over(within), F.lit(0)).alias("at")).join(F.broadcast(first), "part").select("row", (F.col("at") + F.col("before")).alias("place"))
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _sliced(batches):
             rows, blobs = [], []
             for i, (place, ids, count) in enumerate(zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)):
                 whole = np.frombuffer(ids, f"<u{len(ids) // count}").astype("<u4").tobytes()
